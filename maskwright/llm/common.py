@@ -188,7 +188,8 @@ class Words:
         return pa.BinaryArray.from_buffers(pa.binary(), len(self), [None, pa.py_buffer(off), pa.py_buffer(self.data[self.isw])])
 
 
-_STEP = [U64((0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64)) for i in range(64)]
+#: Fixed random odd multipliers of the places in a shingle.
+_STEP = list(np.random.default_rng(7919).integers(1, 1 << 63, 64, dtype=U64) * U64(2) + U64(1))
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
