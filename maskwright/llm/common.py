@@ -163,8 +163,8 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 class Words:
     """The words of a slice of documents: byte spans, and the first word of each document."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, keep: np.ndarray):
-        self.data = LOWER[data]
+    def __init__(self, data: np.ndarray, off: np.ndarray, keep: np.ndarray, lower: np.ndarray = LOWER):
+        self.data = lower[data]
         self.isw = keep[self.data]
         first = self.isw.copy()
         first[1:] &= ~self.isw[:-1]

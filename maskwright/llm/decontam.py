@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ALNUM, Words, prepare, text_buffers, text_slices
 
@@ -232,8 +233,7 @@ def _search_shard(parts: list[tuple], p: Phrases) -> list[dict]:
     item_at = np.searchsorted(pairs[:, 0], np.arange(len(counts) + 1))
     out, k = [], 0
     for w in parts:
-        chars = None
-        for d in range(len(w.doc) - 1):
+        for _ in range(len(w.doc) - 1):
             a, b = first[k], first[k + 1]
             x = {"n_words": int(b - a), "items": [], "runs": []}
             if item_at[k + 1] > item_at[k]:
@@ -242,7 +242,6 @@ def _search_shard(parts: list[tuple], p: Phrases) -> list[dict]:
                 x["runs"] = list(zip(s.tolist(), e.tolist(), strict=True))
             out.append(x)
             k += 1
-        del chars
     return out
 
 
@@ -326,17 +325,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     merged hit word ranges and spans the same as characters of the text, end
     exclusive. A document with min_items items or more is contaminated.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     out = docs.select(*dict.fromkeys([*keep, text_col]))
     base = out.schema
-    from pyspark.sql import types as T
-
     plan = list(blocks(benchmark, window, block_bytes))
     for k, p in enumerate(plan):
         fields = [f for f in base if f.name in keep or f.name == text_col and k + 1 < len(plan)]
-        schema = T.StructType([*fields, *T._parse_datatype_string(RESULT).fields]) if hasattr(T, "_parse_datatype_string") else None
+        schema = T.StructType([*fields, *T.StructType.fromDDL(RESULT)])
         out = out.mapInArrow(_scan(p, _arrow(schema), text_col), schema)
-    del spark
     n = F.size("items")
     return out.select(*keep, "n_words", "n_hit", n.cast("long").alias("n_items"), "items", "runs", "spans", (n >= min_items).alias("contaminated"))
 
