@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, PrefixHash, prepare, text_buffers, text_slices
+from .common import U64, PrefixHash, mix, prepare, text_buffers, text_slices
 
 LENGTH = 50
 #: Bytes of the prefix by which anchors are found; fewer give fewer anchors, which are shared by chance more often.
@@ -79,7 +79,7 @@ class Anchors:
         padded = np.zeros(len(top) + 2 * (w - 1), np.uint32)
         padded[w - 1 : w - 1 + len(top)] = top
         self.at = np.flatnonzero((_slide(padded, w, np.maximum) == order) & (order > 0))
-        self.key = key[self.at]
+        self.key = mix(key[self.at] + U64(1))  # anchors have low hashes; their keys are to be even
         self.doc = np.searchsorted(off, self.at, side="right") - 1
         self.first, self.last = self._reach(padded, order, w)
 
@@ -208,11 +208,15 @@ class Family:
         return has_key, has_both
 
     def add(self, level: tuple[np.ndarray, ...]) -> None:
+        if not len(level[0]):
+            return
         while self.levels and len(self.levels[-1][0]) < 2 * len(level[0]):
             level = self._merge(self.levels.pop(), level)
         self.levels.append(level)
 
     def all(self) -> tuple[np.ndarray, ...]:
+        if not self.levels:
+            return np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
         while len(self.levels) > 1:
             y = self.levels.pop()
             self.levels[-1] = self._merge(self.levels[-1], y)
@@ -343,8 +347,9 @@ class SuffixDedup:
 
     def result(self) -> DataFrame:
         """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed byte ranges) of every document."""
-        first = self._entries().groupBy("bucket").applyInArrow(_typed(_match_entries), FLAGS).checkpoint()
-        second = self._windows(first).groupBy("bucket").applyInArrow(_typed(_match_windows), FLAGS).checkpoint()
+        # one plan, in which the exchange of the documents by batch stands once and is read three times
+        first = self._entries().groupBy("bucket").applyInArrow(_typed(_match_entries), FLAGS)
+        second = self._windows(first).groupBy("bucket").applyInArrow(_typed(_match_windows), FLAGS)
         return self._cut(first.union(second.withColumn("kind", F.lit(PROBE + 1))))
 
 
