@@ -5,11 +5,11 @@ Sets are ordered by one global order, rarer first, taken from a fixed-size
 table of shingle counts over all documents. Documents with equal sets form a
 class; classes with the same size and the same prefix (the part of the order
 that any partner must meet) form a group. Only groups enter the token index.
-Group pairs that share a prefix token are filtered by size, position and
-prefix overlap, expanded to their member classes, and verified on the texts.
+Group pairs that share a prefix token are filtered by size, position, a bitmap
+of shingle parities and prefix overlap, expanded to their member classes, and verified on the texts.
 
 Links are complete in the sense of components: pairs are first tried along
-chains within each token's groups; pairs whose ends those links already
+chains and stars within each token's groups; pairs whose ends those links already
 connect need no test, every other candidate pair is then tested. No pair of a
 token is written out while its ends are known to be connected, so a large
 group of near copies costs rows in proportion to its size.
@@ -83,11 +83,12 @@ def _features(n: int, num: int, den: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = order.value.astype(U64)
         for batch in batches:
-            sizes, high, low, prefixes = [], [], [], []
+            sizes, high, low, prefixes, maps = [], [], [], [], []
             for _, _, data, off in text_slices(batch.column(1)):
                 for h in shingle_sets(data, off, n):
                     size = len(h)
                     sizes.append(size)
+                    maps.append(np.packbits(np.bincount((h & U64(255)).astype(np.int64), minlength=256) & 1).view("<i8"))
                     if not size:
                         high.append(0)
                         low.append(0)
@@ -104,7 +105,7 @@ def _features(n: int, num: int, den: int, order):
             off = np.zeros(len(prefixes) + 1, np.int32)
             np.cumsum([len(x) for x in prefixes], out=off[1:])
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(off, pa.array(flat))], names=["doc_id", "n_shingles", "high", "low", "prefix"])
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(off, pa.array(flat)), pa.array(list(maps), pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "high", "low", "prefix", "odd"])
 
     return run
 
@@ -153,9 +154,9 @@ class JaccardJoin:
         self.spark, self.n, self.num, self.den = prepare(docs.sparkSession), n, num, den
         self.docs = docs.select("doc_id", "text")
         order = self.spark.sparkContext.broadcast(order_table(docs, n))  # 2 MB, whatever the corpus
-        kind = "doc_id long, n_shingles long, high long, low long, prefix array<long>"
+        kind = "doc_id long, n_shingles long, high long, low long, prefix array<long>, odd array<long>"
         self.features = self.docs.mapInArrow(_features(n, num, den, order), kind).checkpoint()
-        classes = self.features.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "high", "low").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
+        classes = self.features.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "high", "low").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("odd").alias("odd"))
         self.classes = classes.withColumn("gid", F.min("rep").over(Window.partitionBy("n_shingles", F.xxhash64("prefix"), "prefix"))).checkpoint()
         self.groups = self.classes.where("rep = gid").select("gid", "n_shingles", "prefix")
         self.tokens = self.groups.select("gid", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("i", "token"))
@@ -169,10 +170,18 @@ class JaccardJoin:
         return linked.union(self._verified(rest)).checkpoint()
 
     def _chains(self) -> DataFrame:
-        """Each group with the one before it in its tokens' lists, and each class with the one before it in its group."""
-        by = Window.partitionBy("token").orderBy("n", "gid")
-        prev = F.lag(F.struct("gid", "n")).over(by)
-        near = self.tokens.select("gid", "n", prev.alias("p")).where(F.col("p.n") * self.den >= F.col("n") * self.num)
+        """Each group with the one before it and the first one in its tokens' lists, and each class with the one before it in its group.
+
+        Lists are ordered by the token's place in the prefix: a document with
+        few rare shingles, one near the source of its copies, stands early.
+        """
+        by = Window.partitionBy("token").orderBy("i", "n", "gid")
+        other = F.struct("gid", "n", "i")
+        seen = self.tokens.select("gid", "n", "i", F.lag(other).over(by).alias("p"), F.first(other).over(by).alias("q")).where("p is not null")
+        near = seen.select("gid", "n", "i", F.explode(F.array_distinct(F.array("p", "q"))).alias("p"))
+        need = F.ceil((F.col("n") + F.col("p.n")) * self.num / (self.num + self.den))
+        alike = F.least("n", "p.n") * self.den >= F.greatest("n", "p.n") * self.num
+        near = near.where(alike & (F.least(F.col("n") - F.col("i"), F.col("p.n") - F.col("p.i")) >= need))
         across = near.select(F.least("gid", "p.gid").alias("a"), F.greatest("gid", "p.gid").alias("b")).distinct()
         within = self.classes.select(F.lag("rep").over(Window.partitionBy("gid").orderBy("rep")).alias("a"), F.col("rep").alias("b")).where("a is not null")
         return self._overlapping(across).union(within).checkpoint()
@@ -189,16 +198,20 @@ class JaccardJoin:
     def _unconnected(self, label: DataFrame) -> DataFrame:
         """All candidate pairs of classes whose labels differ."""
         member = self.classes.select("rep", "gid").join(label, "rep", "left").select("rep", "gid", F.coalesce("label", "rep").alias("label")).checkpoint()
-        spread = member.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        spread = member.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
         t = self.tokens.join(spread, "gid").withColumn("one", F.when(F.col("lo") == F.col("hi"), F.col("lo")))
         # a token whose groups all bear one label has nothing to pair
         open_ = t.groupBy("token").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x <> y").select("token")
-        t = t.join(open_, "token", "left_semi")
+        odd = self.classes.where("rep = gid").select("gid", "odd")
+        t = t.join(open_, "token", "left_semi").join(odd, "gid").withColumn("odd", F.when(F.col("size") == 1, F.col("odd")))
         x, y = t.alias("x"), t.alias("y")
         need = F.ceil((F.col("x.n") + F.col("y.n")) * self.num / (self.num + self.den))
         can = F.col("x.n") * self.den >= F.col("y.n") * self.num
         ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.gid") < F.col("y.gid")))
         reach = 1 + F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) - 1
+        # sets that differ in m shingles differ in at most m bits of their parity maps
+        bits = sum(F.bit_count(F.element_at("x.odd", k).bitwiseXOR(F.element_at("y.odd", k))) for k in range(1, 5))
+        can &= F.col("x.odd").isNull() | F.col("y.odd").isNull() | (bits <= F.col("x.n") + F.col("y.n") - 2 * need)
         apart = F.col("x.one").isNull() | F.col("y.one").isNull() | (F.col("x.one") != F.col("y.one"))
         pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & ordered & can & apart & (reach >= need)).select(F.least("x.gid", "y.gid").alias("a"), F.greatest("x.gid", "y.gid").alias("b")).distinct()
         pairs = self._overlapping(pairs)
