@@ -57,6 +57,19 @@ def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
     return x
 
 
+def _sorted(key: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The stable order by (key, value); fast where few keys are equal, or where the keys are a few sorted runs."""
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    tied = np.zeros(len(order), bool)
+    tied[1:] |= same
+    tied[:-1] |= same
+    at = np.flatnonzero(tied)
+    part = order[at]
+    order[at] = part[np.lexsort((value[part], key[part]))]
+    return order
+
+
 class Anchors:
     """The anchors of a slice of documents: position, document, and the window starts [first, last] that each stands for."""
 
@@ -134,7 +147,7 @@ class Batch:
 
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct (key, reach), the least document of each, and for each anchor its entry."""
-        order = np.lexsort((self.doc, self.reach, self.key))
+        order = _sorted(self.key, self.reach)  # anchors come by document
         k, r = self.key[order], self.reach[order]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
@@ -180,7 +193,7 @@ class Family:
     def _merge(x: tuple, y: tuple) -> tuple:
         """Distinct (key, value) of both; those of x, the earlier, stay."""
         both = tuple(np.concatenate(c) for c in zip(x, y, strict=True))
-        order = np.lexsort((both[2], both[1], both[0]))
+        order = _sorted(both[0], both[1])
         out = tuple(c[order] for c in both)
         new = np.ones(len(order), bool)
         new[1:] = (out[0][1:] != out[0][:-1]) | (out[1][1:] != out[1][:-1])
@@ -378,7 +391,7 @@ def _probe_windows(b: Batch, found: pa.Table, n: int) -> tuple[np.ndarray, np.nd
         z = np.zeros(0, np.int64)
         return np.zeros(0, U64), np.zeros(0, np.uint32), (z, z, of)
     h, d, s, at = (np.concatenate(x) for x in (hashes, docs, starts, anchors))
-    order = np.lexsort((d, h))
+    order = np.argsort(h, kind="stable")  # they come by document
     return h[order], d[order].astype(np.uint32), (at[order], s[order], of)
 
 
