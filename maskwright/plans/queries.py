@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.replace import DEMO_KEY, TOKEN_HEAD, TOKEN_TAIL, hmac_parts, replace
 from ..operators import report, scan, textutil
 from ..rules import BUILT_IN, BUILT_IN_ALLOWED
+from . import structured
+from .shapes import shapes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,7 +102,7 @@ def _replacement(category: str, value: str, made: str) -> None:
     ORACLES[name] = f"WITH x AS (SELECT c_custkey, {value.format(text='varchar')} AS v FROM customer), y AS (SELECT *, {_hmac('v', category)} AS h FROM x) SELECT c_custkey, v AS original, {made} AS sanitized FROM y"
 
 
-for _c, (_v, _m) in SHAPES.items():
+for _c, (_v, _m) in (SHAPES | shapes(_byte)).items():
     _replacement(_c, _v, _m)
 
 _EITHER = _sql("|".join(f"(?:{r.pattern})" for r in MAIN))
@@ -234,3 +236,6 @@ def log_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive_entry_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit("C:\\..\\etc\\./"), "c_name", F.lit("//../a.txt"))
     return _read(spark, sf_dir, "customer").select("c_custkey", textutil.safe_entry_name(raw).alias("entry"))
+
+
+structured.register(query, _hmac, _email, _token)
