@@ -199,11 +199,13 @@ class JaccardJoin:
         """All candidate pairs of classes whose labels differ."""
         member = self.classes.select("rep", "gid").join(label, "rep", "left").select("rep", "gid", F.coalesce("label", "rep").alias("label")).checkpoint()
         spread = member.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
-        t = self.tokens.join(spread, "gid").withColumn("one", F.when(F.col("lo") == F.col("hi"), F.col("lo")))
+        t = self.groups.join(spread, "gid").select("gid", F.col("n_shingles").alias("n"), "lo", "hi", "size", F.posexplode("prefix").alias("i", "token"))
         # a token whose groups all bear one label has nothing to pair
-        open_ = t.groupBy("token").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x <> y").select("token")
+        of = Window.partitionBy("token")
+        t = t.select("*", F.min("lo").over(of).alias("x"), F.max("hi").over(of).alias("y")).where("x <> y").drop("x", "y")
+        t = t.withColumn("one", F.when(F.col("lo") == F.col("hi"), F.col("lo")))
         odd = self.classes.where("rep = gid").select("gid", "odd")
-        t = t.join(open_, "token", "left_semi").join(odd, "gid").withColumn("odd", F.when(F.col("size") == 1, F.col("odd")))
+        t = t.join(odd, "gid").withColumn("odd", F.when(F.col("size") == 1, F.col("odd")))
         x, y = t.alias("x"), t.alias("y")
         need = F.ceil((F.col("x.n") + F.col("y.n")) * self.num / (self.num + self.den))
         can = F.col("x.n") * self.den >= F.col("y.n") * self.num
@@ -250,5 +252,5 @@ def jaccard_components(docs: DataFrame, *, n: int = N, num: int = NUM, den: int
 
 def keep_one(docs: DataFrame, *, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """The documents without those that are linked, directly or not, to a document with a smaller doc_id."""
-    gone = jaccard_components(docs, n=n, num=num, den=den).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = jaccard_components(docs, n=n, num=num, den=den).where("component_id <> doc_id").select("doc_id").distinct().checkpoint()
+    return docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
