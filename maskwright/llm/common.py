@@ -7,6 +7,7 @@ depends on the longest document and not on the size of a batch.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -52,6 +53,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def release(spark: SparkSession) -> None:
+    """Asks for a garbage collection, upon which Spark deletes the shuffles and checkpoints that nothing refers to any more.
+
+    Without it they stay on disk until the driver's heap happens to fill up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 

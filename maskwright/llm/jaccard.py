@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, components, prepare, shingle_sets, small_side, text_slices
+from .common import U64, components, prepare, release, shingle_sets, small_side, text_slices
 
 N, NUM, DEN = 5, 80, 100
 #: Counters of the global order: a fixed table of 4 MB, whatever the corpus.
@@ -163,11 +163,15 @@ class JaccardJoin:
 
     def links(self) -> DataFrame:
         """Linked pairs (a, b) of class representatives that connect every component; see the module."""
+        release(self.spark)
         first = self._chains()
+        release(self.spark)
         linked = self._verified(first).checkpoint()
+        release(self.spark)
         label = self._labels(linked)
-        rest = self._unconnected(label).join(first, ["a", "b"], "left_anti")
-        return linked.union(self._verified(rest)).checkpoint()
+        # no name for the pairs here, so that their shuffles can go once they are checkpointed
+        found = self._verified(self._unconnected(label).join(first, ["a", "b"], "left_anti"))
+        return linked.union(found).checkpoint()
 
     def _chains(self) -> DataFrame:
         """Each group with the one before it and the first one in its tokens' lists, and each class with the one before it in its group.
@@ -199,13 +203,13 @@ class JaccardJoin:
         """All candidate pairs of classes whose labels differ."""
         member = self.classes.select("rep", "gid").join(label, "rep", "left").select("rep", "gid", F.coalesce("label", "rep").alias("label")).checkpoint()
         spread = member.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
-        t = self.groups.join(spread, "gid").select("gid", F.col("n_shingles").alias("n"), "lo", "hi", "size", F.posexplode("prefix").alias("i", "token"))
+        t = self.groups.join(spread, "gid").select("gid", "lo", "hi", F.posexplode("prefix").alias("i", "token"))
         # a token whose groups all bear one label has nothing to pair
         of = Window.partitionBy("token")
         t = t.select("*", F.min("lo").over(of).alias("x"), F.max("hi").over(of).alias("y")).where("x <> y").drop("x", "y")
         t = t.withColumn("one", F.when(F.col("lo") == F.col("hi"), F.col("lo")))
-        odd = self.classes.where("rep = gid").select("gid", "odd")
-        t = t.join(odd, "gid").withColumn("odd", F.when(F.col("size") == 1, F.col("odd")))
+        about = self.classes.where("rep = gid").select("gid", F.col("n_shingles").alias("n"), "odd").join(spread.select("gid", "size"), "gid")
+        t = t.join(about, "gid").withColumn("odd", F.when(F.col("size") == 1, F.col("odd")))
         x, y = t.alias("x"), t.alias("y")
         need = F.ceil((F.col("x.n") + F.col("y.n")) * self.num / (self.num + self.den))
         can = F.col("x.n") * self.den >= F.col("y.n") * self.num
@@ -231,6 +235,7 @@ class JaccardJoin:
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         pairs = pairs.checkpoint()
+        release(self.spark)
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().checkpoint()
         text = self.docs.join(small_side(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         one, two = text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
