@@ -32,3 +32,55 @@ def ndjson(counts: DataFrame, id_: str) -> DataFrame:
     """One JSON line for each id: its path, its total and its labels in order."""
     labels = F.map_from_entries(F.sort_array(F.collect_list(F.struct("pattern", "matches"))))
     return counts.groupBy(id_).agg(F.to_json(F.struct(F.col(id_).cast("string").alias("path"), F.sum("matches").alias("matches"), labels.alias("patterns"))).alias("line"))
+
+
+def sarif_results(counts: DataFrame, id_: str, locations: DataFrame | None = None) -> DataFrame:
+    """One result for each file and label: rule_id, level, message, uri and, where locations know it, start_line."""
+    uri = F.replace(F.col(id_).cast("string"), F.lit("\\"), F.lit("/"))
+    text = F.concat(F.col("matches").cast("string"), F.lit(" sensitive value(s) of type '"), F.col("pattern"), F.lit("' detected and sanitized."))
+    rows = counts.where("matches > 0")
+    if locations is None:
+        rows = rows.withColumn("start_line", F.lit(None).cast("long"))
+    else:
+        rows = rows.join(locations.groupBy(id_, "pattern").agg(F.min_by("line", "byte_offset").alias("start_line")), [id_, "pattern"], "left")
+    return rows.select(uri.alias("uri"), F.col("pattern").alias("rule_id"), severity(F.col("pattern")).alias("level"), text.alias("message"), "start_line")
+
+
+def sarif_lines(results: DataFrame) -> DataFrame:
+    """Each result as the JSON object of SARIF 2.1.0."""
+    where = F.struct(F.col("uri"), F.lit("%SRCROOT%").alias("uriBaseId"))
+    region = F.when(F.col("start_line").isNotNull(), F.struct(F.col("start_line").alias("startLine")))
+    place = F.array(F.struct(F.struct(where.alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
+    return results.select(F.to_json(F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), place.alias("locations"))).alias("result"))
+
+
+def byte_format(n: Column) -> Column:
+    """Bytes as B, KiB, MiB or GiB, the latter with one decimal."""
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for k, unit in ((10, "KiB"), (20, "MiB"), (30, "GiB")):
+        out = F.when(n >= 1 << k, F.format_string(f"%.1f {unit}", n.cast("double") / (1 << k))).otherwise(out)
+    return out
+
+
+def redaction_line(counts: DataFrame, id_: str) -> DataFrame:
+    """For each id its labels by count, most first, then by name: ``email (3), ipv4 (1)``."""
+    key = lambda c: F.struct((-c["matches"]).alias("n"), c["pattern"].alias("p"))
+    pairs = F.sort_array(F.collect_list(key({"matches": F.col("matches"), "pattern": F.col("pattern")})))
+    return counts.groupBy(id_).agg(F.array_join(F.transform(pairs, lambda x: F.concat(x["p"], F.lit(" ("), (-x["n"]).cast("string"), F.lit(")"))), ", ").alias("line"))
+
+
+def fail_on_match(counts: DataFrame) -> DataFrame:
+    """One row: whether anything was found, and the exit code that says so."""
+    hit = F.coalesce(F.max(F.col("matches") > 0), F.lit(False))
+    return counts.agg(hit.alias("failed"), F.when(hit, 2).otherwise(0).alias("exit_code"))
+
+
+def html(counts: DataFrame, id_: str, top: int = 1000) -> str:
+    """A self-contained page with the totals of every label and the files with the most findings; top bounds the list, as a report does."""
+    from html import escape
+
+    table = lambda head, rows: "<table><tr>" + "".join(f"<th>{h}</th>" for h in head) + "</tr>" + "".join("<tr>" + "".join(f"<td>{escape(str(v))}</td>" for v in r) + "</tr>" for r in rows) + "</table>"
+    labels = summary(counts).orderBy(F.desc("matches"), "pattern").collect()
+    files = counts.groupBy(id_).agg(F.sum("matches").alias("matches")).orderBy(F.desc("matches"), id_).limit(top).collect()
+    style = "<style>body{font-family:sans-serif}td,th{padding:2px 12px;text-align:left}</style>"
+    return f"<!doctype html><html><head><meta charset='utf-8'><title>Findings</title>{style}</head><body><h1>Findings</h1>{table(('label', 'files', 'matches'), labels)}<h2>Files</h2>{table(('file', 'matches'), files)}</body></html>"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.replace import DEMO_KEY, TOKEN_HEAD, TOKEN_TAIL, hmac_parts, replace
 from ..operators import report, scan, textutil
 from ..rules import BUILT_IN, BUILT_IN_ALLOWED
-from . import structured
+from . import more, structured
 from .shapes import shapes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,3 +239,4 @@ def archive_entry_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 structured.register(query, _hmac, _email, _token)
+more.register(query, _hmac, _email, _token, _byte, (report_by_file, ORACLES["report_by_file"]), (match_locations, ORACLES["match_locations"]))
