@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.replace import DEMO_KEY, replace
 from ..rules import MAX_LITERALS
+from .aliases import forms
 
 #: Shorter values (bytes) are not looked for elsewhere.
 LEAST = 4
@@ -27,12 +28,12 @@ def literals(dictionary: DataFrame) -> DataFrame:
     return dictionary.where(F.octet_length("original") >= LEAST).groupBy("original").agg(F.min("category").alias("category"))
 
 
-def _automaton(values: dict[str, str]):
+def _automaton(values: dict[str, tuple[str, str]]):
     import ahocorasick
 
     out = ahocorasick.Automaton()
-    for v, c in values.items():
-        out.add_word(v, (len(v), c, v))
+    for form, (category, value) in values.items():
+        out.add_word(form, (len(form), category, value))
     out.make_automaton()
     return out
 
@@ -48,15 +49,22 @@ def leftmost_longest(hits: Iterator[tuple[int, tuple[int, str, str]]]) -> list[d
     return out
 
 
-def redact_known(df: DataFrame, text: str, dictionary: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
+def redact_known(df: DataFrame, text: str, dictionary: DataFrame, key: bytes = DEMO_KEY, escaped: bool = False) -> DataFrame:
     """df with found and sanitized: every dictionary value in the text is replaced as it was where it was discovered.
 
-    A null text gives the empty one. More than MAX_LITERALS values raise ValueError.
+    With escaped, the forms in which formats write a value are replaced like
+    the value. A null text gives the empty one. More than MAX_LITERALS values
+    (or forms) raise ValueError.
     """
-    rows = literals(dictionary).limit(MAX_LITERALS + 1).collect()
+    words = literals(dictionary).withColumn("form", F.col("original"))
+    if escaped:
+        every = words.withColumn("form", F.explode(F.concat(F.array("original"), forms(F.col("original")))))
+        # a value's own row comes before one in which it is another's form
+        words = every.groupBy("form").agg(F.min(F.struct((F.col("form") != F.col("original")).alias("other"), "original", "category")).alias("m")).select("form", "m.original", "m.category")
+    rows = words.limit(MAX_LITERALS + 1).collect()
     if len(rows) > MAX_LITERALS:
         raise ValueError(f"more than {MAX_LITERALS} literals")
-    known = df.sparkSession.sparkContext.broadcast({r["original"]: r["category"] for r in rows})
+    known = df.sparkSession.sparkContext.broadcast({r["form"]: (r["category"], r["original"]) for r in rows})
     categories = sorted({r["category"] for r in rows})
 
     @F.pandas_udf(f"array<{FOUND}>")

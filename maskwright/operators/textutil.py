@@ -62,3 +62,40 @@ def safe_entry_name(name: Column) -> Column:
     parts = F.filter(F.split(F.regexp_replace(F.regexp_replace(name, "\\\\", "/"), "^[A-Za-z]:", ""), "/"), lambda p: ~p.isin("", ".", ".."))
     joined = F.array_join(parts, "/")
     return F.when(joined == "", "_").otherwise(joined)
+
+
+def test_patterns(df: DataFrame, value: str, rules: Sequence) -> DataFrame:
+    """df's value beside label, start, stop (characters from 0), matched and partial of the first hit of every rule that has one.
+
+    matched is the first group where the rule has one; partial tells that the
+    hit is not the whole value.
+    """
+    v = F.coalesce(F.col(value), F.lit(""))
+    tests = []
+    for r in rules:
+        hit = F.regexp_extract_all(v, F.lit(r.regex), 0)
+        part = F.regexp_extract_all(v, F.lit(r.regex), 1) if r.has_group else hit
+        start = F.char_length(F.element_at(F.split(v, r.regex, 2), 1))
+        tests.append(F.when(F.size(hit) > 0, F.struct(F.lit(r.label).alias("label"), start.alias("start"), (start + F.char_length(hit[0])).alias("stop"), part[0].alias("matched"), (hit[0] != v).alias("partial"))))
+    return df.select(value, F.explode(F.array_compact(F.array(*tests))).alias("m")).select(value, "m.*")
+
+
+test_patterns.__test__ = False  # not a test, whatever its name
+
+
+def notable_events(context: DataFrame, id_: str) -> DataFrame:
+    """id_ and events: log_context's lines as text, each line found as ``>>> [keyword] line`` amid its neighbours, two spaces in."""
+    indent = lambda c: F.transform(F.filter(F.split(c, "\n"), lambda s: s != ""), lambda s: F.concat(F.lit("  "), s))
+    block = F.array_join(F.concat(indent("before"), F.array(F.concat(F.lit(">>> ["), "keyword", F.lit("] "), "line")), indent("after")), "\n")
+    return context.groupBy(id_).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_number", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("events"))
+
+
+def prompts(df: DataFrame, path: str, sanitized: str, template: str, events: DataFrame | None = None, by_reference: bool = False) -> DataFrame:
+    """path and prompt of each text: the template, the file's name and size and, unless by reference, the sanitized content and its notable events."""
+    parts = [F.lit(template), F.lit("\n\nFile: "), F.col(path).cast("string"), F.lit(" ("), F.octet_length(sanitized).cast("string"), F.lit(" bytes)")]
+    if not by_reference:
+        parts += [F.lit("\n<content>\n"), F.col(sanitized), F.lit("\n</content>")]
+    if events is not None:
+        df = df.join(events, path, "left")
+        parts.append(F.coalesce(F.concat(F.lit("\n<notable_events>\n"), "events", F.lit("\n</notable_events>")), F.lit("")))
+    return df.select(path, F.concat(*parts).alias("prompt"))
