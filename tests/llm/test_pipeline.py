@@ -101,7 +101,7 @@ def test_stages_and_run(spark, corpus):
     want = without_leaks(want, items)
     assert rows_of(third) == sorted(want, key=str) and 204 not in dict(want) and items[0] not in dict(want)[203]
     fourth = stage["secrets"](spark, third, path)
-    found = {r.doc_id: [(a, b) for _, a, b in [*r.base, *r.added]] for r in secrets.scan_secrets(third).collect()}
+    found = {r.doc_id: [(s.start, s.end) for s in [*r.base, *r.added]] for r in secrets.scan_secrets(third).collect()}
     masked = sorted(((i, secrets.cover(t, found[i], "[SECRET]") if t and found[i] else (t or t)) for i, t in want), key=str)
     got = rows_of(fourth)
     assert [(i, t or "") for i, t in got] == [(i, t or "") for i, t in masked]
