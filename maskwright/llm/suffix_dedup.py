@@ -98,15 +98,17 @@ class Anchors:
 
     def _reach(self, padded: np.ndarray, order: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
         """The run of window starts p in [at - w + 1, at] whose least hash is the anchor's."""
-        first, last = np.full(len(self.at), -1), np.full(len(self.at), -1)
+        # that run lies in one stretch of equal least hashes, which is sought from the first start on
         mine = order[self.at]
-        for d in range(w):  # d = w - 1 - (at - p)
-            p = self.at + d
-            hit = padded[p] == mine
-            fresh = hit & (first < 0)
-            first[fresh] = p[fresh] - (w - 1)
-            last[hit] = p[hit] - (w - 1)
-        return first, last
+        edge = np.flatnonzero(padded[1:] != padded[:-1]) + 1
+        starts, ends = np.concatenate(([0], edge)), np.append(edge, len(padded))
+        value = padded[starts]
+        run = np.searchsorted(starts, self.at, side="right") - 1
+        todo = np.flatnonzero(value[run] != mine)
+        while len(todo):
+            run[todo] += 1
+            todo = todo[value[run[todo]] != mine[todo]]
+        return np.maximum(starts[run], self.at) - (w - 1), np.minimum(ends[run] - 1, self.at + w - 1) - (w - 1)
 
     def reach_hash(self) -> np.ndarray:
         """Of the bytes of all its windows and of the anchor's place among them."""
