@@ -57,16 +57,19 @@ def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
     return x
 
 
-def _sorted(key: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """The stable order by (key, value); fast where few keys are equal, or where the keys are a few sorted runs."""
-    order = np.argsort(key, kind="stable")
+def _sorted(key: np.ndarray, value: np.ndarray, runs: bool = True) -> np.ndarray:
+    """The stable order by (key, value); fast where few keys are equal, or where the keys are a few sorted runs.
+
+    Without runs, an unstable sort comes first, which is faster on keys in no order.
+    """
+    order = np.argsort(key, kind="stable" if runs else None)
     same = key[order[1:]] == key[order[:-1]]
     tied = np.zeros(len(order), bool)
     tied[1:] |= same
     tied[:-1] |= same
     at = np.flatnonzero(tied)
     part = order[at]
-    order[at] = part[np.lexsort((value[part], key[part]))]
+    order[at] = part[np.lexsort((value[part], key[part]) if runs else (part, value[part], key[part]))]
     return order
 
 
@@ -149,7 +152,7 @@ class Batch:
 
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct (key, reach), the least document of each, and for each anchor its entry."""
-        order = _sorted(self.key, self.reach)  # anchors come by document
+        order = _sorted(self.key, self.reach, runs=False)  # anchors come by document
         k, r = self.key[order], self.reach[order]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
