@@ -4,8 +4,8 @@ The whole text is scanned for three kinds of secrets. Then encoded segments
 (URL escapes, Unicode escapes and character references, base64, gzip and zlib
 streams) are unwrapped; each layer goes on a worklist, is scanned itself and
 searched for further encoded segments, until nothing new appears. A layer whose
-content was seen before in the document is not opened again, so encodings that
-reproduce themselves end. Every decoded character knows the range of the
+content was seen before at the same place of the document is not opened again,
+so encodings that reproduce themselves end. Every decoded character knows the range of the
 original text it came from, so a secret found in any layer has a span there.
 
 Documents are handled alone, in the order they come: no shuffle, and the memory
@@ -186,18 +186,24 @@ def _from_base64(layer: Layer, cut: list[int]) -> Iterator[Layer]:
 def scan(text: str) -> tuple[list[tuple], list[tuple], int, int]:
     """Base spans, added (kind, start, end, path), layers opened, and layers cut short."""
     base = find(text)
-    held, added, seen, cut, opened = set(base), {}, {text}, [0], 0
+    held, added, seen, cut, opened = set(base), {}, {(text, 0, len(text))}, [0], 0
+    known: dict[str, list] = {}
     work = [Layer(text)]
     while work:
         layer = work.pop()
         for more in (_from_url(layer), _from_escapes(layer), _from_base64(layer, cut)):
             for x in more:
-                if x.text in seen:
+                if not x.text:
                     continue
-                seen.add(x.text)
+                place = (x.text, *x.span(0, len(x.text)))  # equal text elsewhere has spans of its own
+                if place in seen:
+                    continue
+                seen.add(place)
                 opened += 1
                 work.append(x)
-                for kind, a, b in find(x.text):
+                if x.text not in known:
+                    known[x.text] = find(x.text)
+                for kind, a, b in known[x.text]:
                     span = (kind, *x.span(a, b))
                     if span not in held:
                         held.add(span)
