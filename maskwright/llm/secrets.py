@@ -11,17 +11,23 @@ original text it came from, so a secret found in any layer has a span there.
 Documents are handled alone, in the order they come: no shuffle, and the memory
 of a slice of documents.
 
-Defined cases: a null or empty text has no spans. Undecodable segments are left
-alone. Decompression stops at ``MAX_LAYER`` bytes a layer; what lies beyond is
-not scanned, and such layers are counted in ``n_unopened``. Repeated rows give
-repeated rows; extra columns pass if named in ``keep``.
+Decoded layers are scanned as bytes, whatever they hold. Packed streams are read
+to the end, through all their members, in pieces cut where no secret or encoded
+run is; a run without such a place is held whole.
+
+Defined cases: a null or empty text has no spans. Of a damaged or short stream,
+what comes before the damage is scanned, and it is counted in ``n_unopened``.
+Repeated rows give repeated rows; extra columns pass if named in ``keep``.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
+import contextlib
+import hashlib
+import io
 import re
+import tempfile
 import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
@@ -41,13 +47,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 MIN_VALUE = 8
 
-URL = re.compile(r"(?:[A-Za-z0-9._~!*'();:@&=+$,/?#\[\]\"<>{}|^`\\-]|%[0-9A-Fa-f]{2})*%[0-9A-Fa-f]{2}(?:[A-Za-z0-9._~!*'();:@&=+$,/?#\[\]\"<>{}|^`\\-]|%[0-9A-Fa-f]{2})*")
+URL = re.compile(r"(?:[A-Za-z0-9._~!*'();:@&=+$,/?#\[\]\"<>{}|^`\\-]|%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 B64_LEAST = 20
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % B64_LEAST)
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
-MAX_LAYER = 64 << 20
+#: Bytes that a stream is unpacked by, that are scanned at once, and that are kept in memory of a stream inside a stream.
+BLOCK, PIECE, SPOOL = 1 << 20, 4 << 20, 16 << 20
 
 _TRIGGERS = (b"passw", b"secret", b"token", b"api")
 _HEXBYTE = np.zeros(256, bool)
@@ -56,6 +62,11 @@ _ANYHEX = _HEXBYTE.copy()
 _ANYHEX[list(b"ABCDEF")] = True
 _B64BYTE = np.zeros(256, bool)
 _B64BYTE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
+#: Bytes of no secret and of no encoding; bytes beside which a space may belong to a secret; bytes beside which a line feed may part base64.
+_BREAK = np.ones(256, bool)
+_BREAK[[9, 10, 13, *range(0x20, 0x7F)]] = False
+_NEAR_SPACE, _WRAPPED = np.zeros(256, bool), _B64BYTE.copy()
+_NEAR_SPACE[list(b" :=\t\r\n\0")] = _WRAPPED[list(b" \t\r\n\0")] = True
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -71,144 +82,221 @@ def sort_spans(spans) -> list[tuple[str, int, int]]:
 
 
 class Layer:
-    """Decoded text; character i stands for [start[i], end[i]) of the original, or for itself where these are None."""
-
-    def __init__(self, text: str, start: list[int] | None = None, end: list[int] | None = None, path: str = ""):
-        self.text, self.start, self.end, self.path = text, start, end, path
+    """Decoded text, a character for each byte where it comes from bytes.
 
-    def span(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.start is None else (min(self.start[a:b]), max(self.end[a:b]))
+    Character i stands for [start[i], end[i]) of the original, for itself where
+    these are None, and for all of ``whole`` where that is given.
+    """
 
+    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None, path: str = "", whole: tuple[int, int] | None = None):
+        self.text, self.start, self.end, self.path, self.whole = text, start, end, path, whole
 
-def _chars(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[str, list[int], list[int]] | None:
-    """The UTF-8 text of raw, where byte i stands for ranges[i]."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    start, end, i = [], [], 0
-    for c in text:
-        n = 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
-        start.append(ranges[i][0])
-        end.append(ranges[i + n - 1][1])
-        i += n
-    return text, start, end
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        if self.whole is not None:
+            return self.whole
+        return (a, b) if self.start is None else (int(self.start[a:b].min()), int(self.end[a:b].max()))
+
+    def derive(self, text: str, lo: np.ndarray, hi: np.ndarray, path: str) -> Layer:
+        """A layer whose character i comes from [lo[i], hi[i]) of this one, both ascending."""
+        if self.whole is not None:
+            return Layer(text, path=self.path + path, whole=self.whole)
+        if self.start is None:
+            return Layer(text, lo, hi, self.path + path)
+        if not (hi - lo > 1).any():
+            return Layer(text, self.start[lo], self.end[lo], self.path + path)
+        k = np.arange(int((hi - lo).max()))[:, None]
+        at = np.minimum(lo + k, hi - 1)
+        return Layer(text, self.start[at].min(axis=0), self.end[at].max(axis=0), self.path + path)
+
+    def readable(self) -> bool:
+        """Whether it is UTF-8 without control characters, or text already."""
+        try:
+            return not _CONTROL.search(self.text.encode("latin-1").decode())
+        except UnicodeEncodeError:
+            return not _CONTROL.search(self.text)
+        except UnicodeDecodeError:
+            return False
 
 
 def _from_url(layer: Layer) -> Iterator[Layer]:
     for m in URL.finditer(layer.text):
-        a, seg = m.start(), m[0]
-        raw, ranges, at = bytearray(), [], 0
-        for e in PERCENT.finditer(seg):
-            for i in range(at, e.start()):
-                raw += (c := seg[i].encode())
-                ranges += [layer.span(a + i, a + i + 1)] * len(c)
-            raw += unquote_to_bytes(e[0])
-            ranges += [layer.span(a + k, a + k + 3) for k in range(e.start(), e.end(), 3)]
-            at = e.end()
-        for i in range(at, len(seg)):
-            raw += (c := seg[i].encode())
-            ranges += [layer.span(a + i, a + i + 1)] * len(c)
-        if got := _chars(bytes(raw), ranges):
-            yield Layer(*got, layer.path + "url/")
+        if "%" not in (seg := m[0]):
+            continue
+        lo = np.arange(len(seg))
+        raw = np.frombuffer(seg.encode("ascii"), np.uint8)
+        at = np.flatnonzero(raw == 0x25)  # each starts an escape
+        keep = np.ones(len(seg), bool)
+        keep[at + 1] = keep[at + 2] = False
+        lo = lo[keep]
+        hi = np.where(raw[lo] == 0x25, lo + 3, lo + 1)
+        yield layer.derive(unquote_to_bytes(seg).decode("latin-1"), lo + m.start(), hi + m.start(), "url/")
 
 
 def _from_escapes(layer: Layer) -> Iterator[Layer]:
     """The whole layer with its escapes replaced."""
-    out, start, end, at, found = [], [], [], 0, False
-
-    def plain(a: int, b: int) -> None:
-        out.append(layer.text[a:b])
-        if layer.start is None:
-            start.extend(range(a, b))
-            end.extend(range(a + 1, b + 1))
-        else:
-            start.extend(layer.start[a:b])
-            end.extend(layer.end[a:b])
-
+    out, lo, hi, at = [], [], [], 0
     for m in ESCAPE.finditer(layer.text):
         digits = next(x for x in m.groups() if x)
         code = int(digits, 10 if m[5] else 16)
         if code > 0x10FFFF or 0xD800 <= code <= 0xDFFF or code == 0:
             continue
-        plain(at, m.start())
-        s, e = layer.span(*m.span())
-        out.append(chr(code))
-        start.append(s)
-        end.append(e)
-        at, found = m.end(), True
-    if found:
-        plain(at, len(layer.text))
-        yield Layer("".join(out), start, end, layer.path + "unicode/")
-
-
-def _unpack(raw: bytes) -> tuple[bytes | None, bool]:
-    """What a gzip or zlib stream holds, and whether it was cut at MAX_LAYER."""
-    bits = 31 if raw[:2] == b"\x1f\x8b" else 15 if len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0 else 0
-    if not bits:
-        return None, False
-    d = zlib.decompressobj(bits)
-    try:
-        return (got := d.decompress(raw, MAX_LAYER)), bool(d.unconsumed_tail) and len(got) >= MAX_LAYER
-    except zlib.error:
-        return None, False
-
-
-def _from_base64(layer: Layer, cut: list[int]) -> Iterator[Layer]:
+        out += [layer.text[at : m.start()], chr(code)]
+        lo += [np.arange(at, m.start()), [m.start()]]
+        hi += [np.arange(at + 1, m.start() + 1), [m.end()]]
+        at = m.end()
+    if out:
+        n = len(layer.text)
+        lo, hi = (np.concatenate([*x, np.arange(at + k, n + k)]).astype(np.int64) for k, x in ((0, lo), (1, hi)))
+        yield layer.derive("".join(out) + layer.text[at:], lo, hi, "unicode/")
+
+
+def _bits(raw: bytes) -> int:
+    """zlib's window bits for the stream that raw begins with, 0 if it is none."""
+    return 31 if raw[:2] == b"\x1f\x8b" else 15 if len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0 else 0
+
+
+def _inflate(src, broken: list[int]) -> Iterator[bytes]:
+    """Blocks of what a file's gzip or zlib streams hold, one after the other, and of what follows them; broken counts damaged ones."""
+    data, any_out = src.read(BLOCK), False
+    while data:
+        if not (bits := _bits(data)):
+            while any_out and data:
+                yield data
+                data = src.read(BLOCK)
+            return
+        d = zlib.decompressobj(bits)
+        while not d.eof:
+            if not data:
+                broken[0] += any_out
+                return
+            before = d.copy()
+            try:
+                got, bad = d.decompress(data, BLOCK), False
+            except zlib.error:  # what comes before the damage is whole
+                got, bad = b"", True
+                with contextlib.suppress(zlib.error):
+                    for k in range(len(data)):
+                        got += before.decompress(data[k : k + 1])
+            any_out |= bool(got)
+            if got:
+                yield got
+            if bad:
+                broken[0] += any_out
+                return
+            if not d.eof:
+                data = d.unconsumed_tail or src.read(BLOCK)
+                if not data and len(got) == BLOCK:  # the last of the output may still be held back
+                    if rest := d.flush():
+                        yield rest
+        data = d.unused_data
+        if len(data) < 3:
+            data += src.read(BLOCK)
+
+
+def _cuts(data: bytes) -> int:
+    """The last place at which no secret or encoded run can be cut in two; 0 if there is none."""
+    x = np.frombuffer(data, np.uint8)
+    ok = _BREAK[x]
+    prev, after = np.append(np.uint8(0), x[:-1]), np.append(x[1:], np.uint8(0))
+    ok |= (x == 0x20) & ~_NEAR_SPACE[prev] & ~_NEAR_SPACE[after]
+    ok |= (x == 0x0A) & ~(_WRAPPED[prev] & _WRAPPED[after])
+    ok[-1] = False  # what comes next is not known
+    at = np.flatnonzero(ok)
+    return int(at[-1]) + 1 if len(at) else 0
+
+
+def _pieces(blocks: Iterator[bytes]) -> Iterator[bytes]:
+    """The same bytes in pieces of about PIECE bytes, longer only where a run without a break is."""
+    held, size, least = [], 0, PIECE
+    for block in blocks:
+        held.append(block)
+        size += len(block)
+        if size >= least:
+            data = b"".join(held)
+            if cut := _cuts(data):
+                yield data[:cut]
+            held, size = [data[cut:]], len(data) - cut
+            least = max(PIECE, 2 * size)
+    if size:
+        yield b"".join(held)
+
+
+def _unpacked(raw: bytes, broken: list[int]) -> Iterator[tuple[str, str]]:
+    """The text of a packed stream in pieces, then that of the stream it holds, with the path of each."""
+    src, seen, path = io.BytesIO(raw), {hashlib.sha256(raw).digest()}, ""
+    while src is not None:
+        path += "zip/"
+        spool, sha = None, hashlib.sha256()
+
+        def copied(src=src, sha=sha):
+            nonlocal spool
+            for k, block in enumerate(_inflate(src, broken)):
+                if not k and _bits(block):
+                    spool = tempfile.SpooledTemporaryFile(SPOOL)  # noqa: SIM115
+                if spool is not None:
+                    spool.write(block)
+                sha.update(block)
+                yield block
+
+        for piece in _pieces(copied()):
+            yield piece.decode("latin-1"), path
+        src.close()
+        if spool is not None and sha.digest() not in seen:  # a stream may hold itself
+            seen.add(sha.digest())
+            spool.seek(0)
+            src = spool
+        else:
+            src = None
+            if spool is not None:
+                spool.close()
+
+
+def _from_base64(layer: Layer, broken: list[int]) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.text):
         seg = m[0].rstrip("=")
         if len(seg) % 4 == 1:
             seg = seg[:-1]
-        try:
-            raw = base64.b64decode(seg.replace("-", "+").replace("_", "/") + "=" * (-len(seg) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        path, packed = layer.path + "base64/", False
-        seen = set()
-        while raw not in seen:  # a stream may hold itself
-            seen.add(raw)
-            inner, short = _unpack(raw)
-            if inner is None:
-                break
-            cut[0] += short
-            raw, packed, path = inner, True, path + "zip/"
-        a = m.start()
-        if packed:
+        raw = binascii.a2b_base64(seg.replace("-", "+").replace("_", "/") + "=" * (-len(seg) % 4))
+        if _bits(raw):
             whole = layer.span(*m.span())
-            ranges = [whole] * len(raw)
-        else:
-            ranges = [layer.span(a + k // 3 * 4, min(a + k // 3 * 4 + 4, m.end())) for k in range(len(raw))]
-        got = _chars(raw, ranges)
-        if got and not _CONTROL.search(got[0]):
-            yield Layer(*got, path)
+            for text, path in _unpacked(raw, broken):
+                yield Layer(text, path=layer.path + "base64/" + path, whole=whole)
+        lo = m.start() + np.arange(len(raw)) // 3 * 4
+        yield layer.derive(raw.decode("latin-1"), lo, np.minimum(lo + 4, m.end()), "base64/")
 
 
 def scan(text: str) -> tuple[list[tuple], list[tuple], int, int]:
-    """Base spans, added (kind, start, end, path), layers opened, and layers cut short."""
+    """Base spans, added (kind, start, end, path), layers opened, and damaged streams.
+
+    A layer counts as opened if it reads as text or holds a secret.
+    """
     base = find(text)
-    held, added, seen, cut, opened = set(base), {}, {(text, 0, len(text))}, [0], 0
+    held, added, seen, broken, opened = set(base), {}, {(text, 0, len(text))}, [0], 0
     known: dict[str, list] = {}
     work = [Layer(text)]
     while work:
         layer = work.pop()
-        for more in (_from_url(layer), _from_escapes(layer), _from_base64(layer, cut)):
+        for more in (_from_url(layer), _from_escapes(layer), _from_base64(layer, broken)):
             for x in more:
                 if not x.text:
                     continue
                 place = (x.text, *x.span(0, len(x.text)))  # equal text elsewhere has spans of its own
                 if place in seen:
                     continue
-                seen.add(place)
-                opened += 1
-                work.append(x)
+                if x.whole is None or len(x.text) < PIECE:
+                    seen.add(place)
                 if x.text not in known:
                     known[x.text] = find(x.text)
+                opened += bool(known[x.text]) or x.readable()
                 for kind, a, b in known[x.text]:
                     span = (kind, *x.span(a, b))
                     if span not in held:
                         held.add(span)
                         added[span] = x.path
-    return base, [(*s, added[s]) for s in sort_spans(added)], opened, cut[0]
+                if len(x.text) >= PIECE:
+                    del known[x.text]
+                work.append(x)
+    return base, [(*s, added[s]) for s in sort_spans(added)], opened, broken[0]
 
 
 def suspects(data: np.ndarray, off: np.ndarray) -> np.ndarray:

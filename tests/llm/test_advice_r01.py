@@ -1,6 +1,8 @@
 """Cases in which the operators once did less than the whole job."""
 
 import base64
+import gzip
+import zlib
 
 from maskwright.llm import secrets
 
@@ -18,3 +20,29 @@ def test_secret_encoded_twice():
     url, b64 = "%74oken%3Dabcdefgh1", base64.b64encode(b"password=hunter2222 and more").decode()
     assert masked(f"a {url} b {url}") == "a # b #"
     assert len(spans("\n- ".join([b64] * 5))) == 5
+
+
+def b64(raw):
+    return base64.b64encode(raw).decode()
+
+
+def test_layers_of_any_bytes():
+    assert masked("x q=caf%E9&password%3Dhunter2222 y") == "x q=caf%E9&# y"
+    for raw in (b"\xff\xfe\x00\x1b token=abcdefgh1 \x0c", b"token=abcdefgh1\0\0"):
+        assert len(spans(b64(raw))) == 1
+        assert [x[0] for x in spans(b64(gzip.compress(raw)))] == ["assign"]
+
+
+def test_packed_to_the_end(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 100_000)
+    monkeypatch.setattr(secrets, "BLOCK", 10_000)
+    secret = b"token=abcdefgh1"
+    members = gzip.compress(b"nothing") + gzip.compress(b"") + gzip.compress(secret)
+    assert len(spans(b64(members))) == len(spans(b64(zlib.compress(b"\xc3\xa9\n" * 100_000 + secret)))) == 1
+    big = b64(gzip.compress(gzip.compress(b"a " * secrets.PIECE + secret + b" " + b"z" * 100)))
+    assert [x[0] for x in spans(big)] == ["assign"]
+    packed = gzip.compress(secret + b" " + bytes(range(256)) * 40)
+    assert secrets.scan(b64(packed[:-9]))[3] == 1 and len(spans(b64(packed[:-9]))) == 1
+    parts = [bytes([65 + k % 26]) * 700 + b" token = abcdefgh" + b"%d " % k for k in range(2_000)]
+    made = list(secrets._pieces(iter([b"".join(parts)[k : k + 99_999] for k in range(0, 2_000 * 725, 99_999)])))
+    assert len(made) > 1 and sum(len(secrets.find(x.decode())) for x in made) == 2_000
