@@ -16,7 +16,8 @@ to the end, through all their members, in pieces cut where no secret or encoded
 run is; a run without such a place is held whole.
 
 Defined cases: a null or empty text has no spans. Of a damaged or short stream,
-what comes before the damage is scanned, and it is counted in ``n_unopened``.
+what comes before the damage is scanned, and it is counted in ``n_unopened`` (as
+are single lines of a stream that goes on in the next line).
 Repeated rows give repeated rows; extra columns pass if named in ``keep``.
 """
 
@@ -26,6 +27,7 @@ import binascii
 import contextlib
 import hashlib
 import io
+import itertools
 import re
 import tempfile
 import zlib
@@ -49,8 +51,13 @@ MIN_VALUE = 8
 
 URL = re.compile(r"(?:[A-Za-z0-9._~!*'();:@&=+$,/?#\[\]\"<>{}|^`\\-]|%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-B64_LEAST = 20
+#: The characters of the shortest secret's encoding, without padding.
+B64_LEAST = 19
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % B64_LEAST)
+#: Runs that go on after line feeds.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t\r]*+\n[\x20\t\r\n]*+[A-Za-z0-9+/_-]++)+={0,2}")
+_PARTS = re.compile(r"[+/_-]")
+_GZIP = re.compile(rb"\x1f\x8b\x08")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 #: Bytes that a stream is unpacked by, that are scanned at once, and that are kept in memory of a stream inside a stream.
 BLOCK, PIECE, SPOOL = 1 << 20, 4 << 20, 16 << 20
@@ -62,6 +69,8 @@ _ANYHEX = _HEXBYTE.copy()
 _ANYHEX[list(b"ABCDEF")] = True
 _B64BYTE = np.zeros(256, bool)
 _B64BYTE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\r\n")] = True
 #: Bytes of no secret and of no encoding; bytes beside which a space may belong to a secret; bytes beside which a line feed may part base64.
 _BREAK = np.ones(256, bool)
 _BREAK[[9, 10, 13, *range(0x20, 0x7F)]] = False
@@ -155,11 +164,15 @@ def _bits(raw: bytes) -> int:
     return 31 if raw[:2] == b"\x1f\x8b" else 15 if len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0 else 0
 
 
-def _inflate(src, broken: list[int]) -> Iterator[bytes]:
-    """Blocks of what a file's gzip or zlib streams hold, one after the other, and of what follows them; broken counts damaged ones."""
+def _inflate(src, broken: list[int], ended: list[int]) -> Iterator[bytes]:
+    """Blocks of what a file's gzip or zlib streams hold, one after the other, and of what follows them.
+
+    broken counts damaged ones; ended gets the place that whole streams reach to.
+    """
     data, any_out = src.read(BLOCK), False
     while data:
         if not (bits := _bits(data)):
+            ended.append(src.tell() - len(data))
             while any_out and data:
                 yield data
                 data = src.read(BLOCK)
@@ -191,6 +204,7 @@ def _inflate(src, broken: list[int]) -> Iterator[bytes]:
         data = d.unused_data
         if len(data) < 3:
             data += src.read(BLOCK)
+    ended.append(src.tell())
 
 
 def _cuts(data: bytes) -> int:
@@ -221,7 +235,7 @@ def _pieces(blocks: Iterator[bytes]) -> Iterator[bytes]:
         yield b"".join(held)
 
 
-def _unpacked(raw: bytes, broken: list[int]) -> Iterator[tuple[str, str]]:
+def _unpacked(raw: bytes, broken: list[int], ended: list[int]) -> Iterator[tuple[str, str]]:
     """The text of a packed stream in pieces, then that of the stream it holds, with the path of each."""
     src, seen, path = io.BytesIO(raw), {hashlib.sha256(raw).digest()}, ""
     while src is not None:
@@ -230,7 +244,7 @@ def _unpacked(raw: bytes, broken: list[int]) -> Iterator[tuple[str, str]]:
 
         def copied(src=src, sha=sha):
             nonlocal spool
-            for k, block in enumerate(_inflate(src, broken)):
+            for k, block in enumerate(_inflate(src, broken, ended)):
                 if not k and _bits(block):
                     spool = tempfile.SpooledTemporaryFile(SPOOL)  # noqa: SIM115
                 if spool is not None:
@@ -251,18 +265,43 @@ def _unpacked(raw: bytes, broken: list[int]) -> Iterator[tuple[str, str]]:
                 spool.close()
 
 
-def _from_base64(layer: Layer, broken: list[int]) -> Iterator[Layer]:
+def _runs(layer: Layer) -> Iterator[tuple[str, np.ndarray, int]]:
+    """Base64 runs: the characters, the place of each, and the end with padding; lines that follow one another also joined."""
     for m in BASE64.finditer(layer.text):
         seg = m[0].rstrip("=")
-        if len(seg) % 4 == 1:
-            seg = seg[:-1]
-        raw = binascii.a2b_base64(seg.replace("-", "+").replace("_", "/") + "=" * (-len(seg) % 4))
-        if _bits(raw):
-            whole = layer.span(*m.span())
-            for text, path in _unpacked(raw, broken):
-                yield Layer(text, path=layer.path + "base64/" + path, whole=whole)
-        lo = m.start() + np.arange(len(raw)) // 3 * 4
-        yield layer.derive(raw.decode("latin-1"), lo, np.minimum(lo + 4, m.end()), "base64/")
+        yield seg, np.arange(m.start(), m.start() + len(seg)), m.end()
+    if "\n" in layer.text:
+        for m in WRAPPED.finditer(layer.text):
+            raw = np.frombuffer(m[0].encode("ascii"), np.uint8)
+            at = np.flatnonzero(_B64BYTE[raw])
+            if len(at) >= B64_LEAST:
+                yield raw[at].tobytes().decode("ascii"), at + m.start(), m.end()
+
+
+def _from_base64(layer: Layer, broken: list[int]) -> Iterator[Layer]:
+    """Each run decoded from its first four characters on, one of which is in phase with whatever begins inside of the run."""
+    for seg, at, stop in _runs(layer):
+        ends = np.append(at[1:], stop) if len(at) == at[-1] - at[0] + 1 else np.append(at[:-1] + 1, stop)
+        plain = seg.replace("-", "+").replace("_", "/")
+        # a packed stream may begin with the run, a line, or after a character that also parts words
+        marks = [0, *(np.flatnonzero(np.diff(at) > 1) + 1).tolist(), *(m.end() for m in _PARTS.finditer(seg))]
+        for phase in range(4):
+            n = len(seg) - phase
+            n -= n % 4 == 1
+            if n < B64_LEAST:
+                break
+            raw = binascii.a2b_base64(plain[phase : phase + n] + "=" * (-n % 4))
+            begins = {(k - phase) // 4 * 3 for k in marks if k >= phase and (k - phase) % 4 == 0}
+            begins.update(m.start() for m in _GZIP.finditer(raw))
+            past = 0  # later members of a stream come with it
+            for k in sorted(begins):
+                if k >= past and _bits(raw[k : k + 3]):
+                    whole, ended = layer.span(int(at[phase + k // 3 * 4]), stop), []
+                    for text, path in _unpacked(raw[k:], broken, ended):
+                        yield Layer(text, path=layer.path + "base64/" + path, whole=whole)
+                    past = k + ended[0] if ended else past
+            group = phase + np.arange(len(raw)) // 3 * 4
+            yield layer.derive(raw.decode("latin-1"), at[group], ends[np.minimum(group + 3, len(at) - 1)], "base64/")
 
 
 def scan(text: str) -> tuple[list[tuple], list[tuple], int, int]:
@@ -273,29 +312,36 @@ def scan(text: str) -> tuple[list[tuple], list[tuple], int, int]:
     base = find(text)
     held, added, seen, broken, opened = set(base), {}, {(text, 0, len(text))}, [0], 0
     known: dict[str, list] = {}
-    work = [Layer(text)]
+
+    def inside(layer: Layer) -> Iterator[Layer]:
+        return itertools.chain(_from_url(layer), _from_base64(layer, broken), _from_escapes(layer))
+
+    work = [inside(Layer(text))]  # one layer of each depth is held at a time
     while work:
-        layer = work.pop()
-        for more in (_from_url(layer), _from_escapes(layer), _from_base64(layer, broken)):
-            for x in more:
-                if not x.text:
-                    continue
-                place = (x.text, *x.span(0, len(x.text)))  # equal text elsewhere has spans of its own
-                if place in seen:
-                    continue
-                if x.whole is None or len(x.text) < PIECE:
-                    seen.add(place)
-                if x.text not in known:
-                    known[x.text] = find(x.text)
-                opened += bool(known[x.text]) or x.readable()
-                for kind, a, b in known[x.text]:
-                    span = (kind, *x.span(a, b))
-                    if span not in held:
-                        held.add(span)
-                        added[span] = x.path
-                if len(x.text) >= PIECE:
-                    del known[x.text]
-                work.append(x)
+        x = next(work[-1], None)
+        if x is None:
+            work.pop()
+            continue
+        if not x.text:
+            continue
+        small = len(x.text) <= 4096
+        name = x.text if small else hashlib.sha256(x.text.encode(errors="surrogatepass")).digest()
+        place = (name, *x.span(0, len(x.text)))  # equal text elsewhere has spans of its own
+        if place in seen:
+            continue
+        seen.add(place)
+        found = known.get(name)
+        if found is None:
+            found = find(x.text)
+            if small:
+                known[name] = found
+        opened += bool(found) or x.readable()
+        for kind, a, b in found:
+            span = (kind, *x.span(a, b))
+            if span not in held:
+                held.add(span)
+                added[span] = x.path
+        work.append(inside(x))
     return base, [(*s, added[s]) for s in sort_spans(added)], opened, broken[0]
 
 
@@ -317,17 +363,30 @@ def suspects(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     pct = pct[pct + 2 < len(data)]
     if len(pct):
         mark(pct[_ANYHEX[data[pct + 1]] & _ANYHEX[data[pct + 2]]])
-    for table, least in ((_HEXBYTE, 32), (_B64BYTE, B64_LEAST)):
-        on = np.zeros(len(data) + 2, np.int8)
-        on[1:-1] = table[data]
-        edge = np.flatnonzero(np.diff(on))
+    runs = [(_HEXBYTE[data], 32, None), (_B64BYTE[data], B64_LEAST, None)]
+    feed = data == 0x0A
+    if feed.any():  # base64 runs that go on after line feeds
+        blank = _BLANK[data]
+        edge = np.flatnonzero(np.diff(blank.view(np.int8), prepend=0, append=0))
+        start, end = edge[::2], edge[1::2]
+        feeds = np.concatenate(([0], np.cumsum(feed)))
+        gap = feeds[end] > feeds[start]
+        step = np.zeros(len(data) + 1, np.int8)
+        step[start[gap]], step[end[gap]] = 1, -1
+        at = np.flatnonzero(np.cumsum(step[:-1], dtype=np.int8) == 0)
+        runs.append((_B64BYTE[data[at]], B64_LEAST, at))
+    for isin, least, at in runs:
+        edge = np.flatnonzero(np.diff(isin.view(np.int8), prepend=0, append=0))
         start, end = edge[::2], edge[1::2]
-        mark(start[end - start >= least])
+        long_ = end - start >= least
+        start, last = start[long_], end[long_] - 1
+        if at is not None:
+            start, last = at[start], at[last]
+        x, y = (np.searchsorted(off, k, side="right") - 1 for k in (start, last))
+        hit[x] = True
         # a run across documents is cut there: it counts for each of them
-        long_ = np.flatnonzero(end - start >= least)
-        for a, b in zip(start[long_].tolist(), end[long_].tolist(), strict=True):
-            x, y = np.searchsorted(off, [a, b - 1], side="right") - 1
-            hit[x : y + 1] = True
+        for k in np.flatnonzero(y > x).tolist():
+            hit[x[k] : y[k] + 1] = True
     return hit[:-1]
 
 

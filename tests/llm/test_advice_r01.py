@@ -4,6 +4,8 @@ import base64
 import gzip
 import zlib
 
+import numpy as np
+
 from maskwright.llm import secrets
 
 
@@ -46,3 +48,22 @@ def test_packed_to_the_end(monkeypatch):
     parts = [bytes([65 + k % 26]) * 700 + b" token = abcdefgh" + b"%d " % k for k in range(2_000)]
     made = list(secrets._pieces(iter([b"".join(parts)[k : k + 99_999] for k in range(0, 2_000 * 725, 99_999)])))
     assert len(made) > 1 and sum(len(secrets.find(x.decode())) for x in made) == 2_000
+
+
+def test_base64_in_any_phase_and_wrapped():
+    secret = b"token=abcdefgh"
+    assert b64(secret) == "dG9rZW49YWJjZGVmZ2g=" and masked(f"x {b64(secret)} y") == "x # y"
+    for raw in (b"password=hunter2222", zlib.compress(b"password=hunter2222"), gzip.compress(b"password=hunter2222")):
+        for k in range(9):
+            for before in ("https://h.example/", "id-", "a_", "b+"):
+                assert len(spans(before + "r" * k + "/" + b64(raw) + " z")) == 1
+    for raw in (b"- " * 21 + b"password=hunter2222 " + b"- " * 50, gzip.compress(np.random.default_rng(1).choice(list(b"nopqrst "), 600).astype(np.uint8).tobytes() + b" password=hunter2222")):
+        for feed in ("\n", "\r\n    "):
+            text = "Key:\n" + feed.join(b64(raw)[k : k + 60] for k in range(0, len(b64(raw)), 60)) + "\nend"
+            assert [x[0] for x in spans(text)] == ["assign"]
+
+
+def test_base64_documents_are_scanned(spark):
+    rows = [(1, "dG9rZW49YWJjZGVmZ2g="), (2, "plain"), (3, "dG9rZW49YW\n  JjZGVmZ2g="), (4, "dG9rZW49YW"), (5, "JjZGVmZ2g=")]
+    got = {r.doc_id: len(r.added) for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 0, 3: 1, 4: 0, 5: 0}
