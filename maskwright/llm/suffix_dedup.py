@@ -188,6 +188,12 @@ def _send(batch: int, high: np.ndarray, low: np.ndarray, n: int) -> pa.Table:
     })
 
 
+def _entry_table(batch: int, b: Batch, n: int) -> pa.Table:
+    """A batch's entries; the reach goes in full, as no bytes are compared where it is equal."""
+    first, _, _ = b.entries()
+    return _send(batch, b.key[first], b.reach[first], n)
+
+
 class Family:
     """Sorted levels of (key, value, batch, index); a level merges with the one below it while that is not twice as large."""
 
@@ -234,7 +240,7 @@ class Family:
 
     def all(self) -> tuple[np.ndarray, ...]:
         if not self.levels:
-            return np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+            return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
         while len(self.levels) > 1:
             y = self.levels.pop()
             self.levels[-1] = self._merge(self.levels[-1], y)
@@ -262,7 +268,7 @@ def _match_entries(table: pa.Table) -> pa.Table:
     bucket, family, out = rows[0]["bucket"], Family(), []
     partial: list[np.ndarray] = []
     for r in rows:
-        key, reach = _level(r, np.uint32)
+        key, reach = _level(r, U64)
         seen_key, seen = family.scan(key, reach)
         full = np.flatnonzero(seen)
         out.append(_flags(np.full(len(full), r["batch"]), full, bucket, FULL))
@@ -333,9 +339,7 @@ class SuffixDedup:
         length, q, n = self.length, self.q, self.n_buckets
 
         def run(key: tuple, table: pa.Table) -> pa.Table:
-            b = Batch(table, length, q)
-            first, _, _ = b.entries()
-            return _send(key[0].as_py(), b.key[first], (b.reach[first] >> U64(32)).astype(np.uint32), n)
+            return _entry_table(key[0].as_py(), Batch(table, length, q), n)
 
         run.__annotations__ = {}
         return self.docs.groupBy("batch").applyInArrow(run, ENTRIES)
