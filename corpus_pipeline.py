@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm import decontam, jaccard, packing, quality, secrets
 from maskwright.llm.common import scratch_path, table
+from maskwright.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -51,8 +52,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's length bucket, batch and slot."""
-    return packing.pack(docs)
+    """Each document's length bucket, batch and slot, by its ids (n_ids); n_tokens are its white-space words."""
+    counted = packing.with_ids(docs.withColumn("n_words", packing.n_words()), tokenizer_path("word_bpe_49k.json"), keep=("doc_id", "n_words"))
+    packed = packing.pack(counted, length=F.col("n_ids"), keep=("doc_id", "n_words"))
+    return packed.withColumnsRenamed({"n_tokens": "n_ids", "n_words": "n_tokens"})
 
 
 STAGES = [

@@ -2,8 +2,10 @@
 
 The lengths of all documents form one histogram with a bounded number of bars:
 lengths are rounded up to a multiple of ``STEP``, and beyond ``STEP * LINEAR``
-to one of ``PER_OCTAVE`` steps in each doubling. Dynamic programming over the
-bars chooses the bucket bounds that leave the least padding over the corpus.
+to one of ``PER_OCTAVE`` steps in each doubling. A bar stands for the greatest
+length in it. Dynamic programming over the bars chooses the bucket bounds that
+leave the least padding over the corpus. Lengths are those of ``length``, such
+as the ids that ``with_ids`` counts; without it they are white-space words.
 In a bucket every batch holds as many documents as fit the token budget at the
 bucket's bound, one at least.
 
@@ -20,11 +22,17 @@ a batch of its own. An empty table gives an empty result. Columns named in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from pyspark.sql import types as T
+
+from .common import prepare, text_slices
+from .token_files import encoder
 
 BUCKETS, BUDGET = 12, 16_384
 STEP, LINEAR, PER_OCTAVE = 8, 256, 32
@@ -36,8 +44,24 @@ def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def with_ids(docs: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """keep and n_ids, the ids of the whole text by a tokenizer file; a null text has none."""
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in batches:
+            n = np.zeros(batch.num_rows, np.int64)
+            for i, j, data, off in text_slices(batch.column(len(keep))):
+                n[i:j] = np.diff(enc.encode(data, off)[1])
+            yield pa.record_batch([*batch.columns[: len(keep)], pa.array(n)], names=[*keep, "n_ids"])
+
+    src = docs.select(*keep, F.col(text_col).alias("__text"))
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("n_ids", T.LongType())]))
+
+
 def rounded(length: Column) -> Column:
-    """The bar of a length: the least bound that it may be padded to."""
+    """The bar of a length."""
     top = STEP * LINEAR
     step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(top)).cast("double") - 1)) - int(np.log2(PER_OCTAVE)))
     wide = F.ceil(length / step) * step
@@ -69,10 +93,10 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[int]
 
 
 def bucket_bounds(lengths: DataFrame, k: int) -> list[int]:
-    """The bounds for a table with a column bar; its distinct bars are at most LINEAR + 32 for each doubling beyond."""
-    rows = lengths.groupBy("bar").count().collect()
+    """The bounds for a table with columns n_tokens and bar; its distinct bars are at most LINEAR + 32 for each doubling beyond."""
+    rows = lengths.groupBy("bar").agg(F.count("*").alias("count"), F.max("n_tokens").alias("top")).collect()
     rows.sort(key=lambda r: r["bar"])
-    return optimal_bounds(np.array([r["bar"] for r in rows], np.float64), np.array([r["count"] for r in rows]), k)
+    return optimal_bounds(np.array([r["top"] for r in rows], np.float64), np.array([r["count"] for r in rows]), k)
 
 
 def pack(docs: DataFrame, *, length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -84,7 +108,7 @@ def pack(docs: DataFrame, *, length: Column | None = None, buckets: int = BUCKET
     if not bounds:
         bounds = [STEP]
     each = F.array(*(F.lit(b) for b in bounds))
-    bucket = sum((F.col("bar") > b).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
+    bucket = sum((F.col("n_tokens") > b).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
     n = max(1, -(-sized.count() // BLOCK_ROWS))
     placed = sized.withColumn("bucket", bucket).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
     counts = placed.groupBy("bucket", "block").count()  # at most buckets * n rows
@@ -93,5 +117,5 @@ def pack(docs: DataFrame, *, length: Column | None = None, buckets: int = BUCKET
     out = placed.withColumn("rank", rank).join(F.broadcast(first) if n * len(bounds) <= 1_000_000 else first, ["bucket", "block"])
     place = F.col("first") + F.col("rank") - 1
     bound = F.element_at(each, F.col("bucket") + 1)
-    fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / bound))
+    fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), bound)))
     return out.select(*keep, "n_tokens", "bucket", bound.cast("long").alias("bucket_len"), F.floor(place / fits).alias("batch"), F.pmod(place, fits).alias("slot")).withColumn("batch_id", F.concat_ws("-", "bucket", "batch"))

@@ -46,7 +46,8 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    docs = packing.with_ids(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packing.pack(docs, length=F.col("n_ids"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from maskwright.llm import secrets, suffix_dedup
+import corpus_pipeline
+from maskwright.llm import packing, queries, secrets, suffix_dedup
 
 
 def spans(text):
@@ -82,3 +83,21 @@ def test_reach_is_compared_in_full():
     first, _, _ = batch.entries()
     entries = suffix_dedup._entry_table(0, batch, 1).to_pylist()
     assert np.array_equal(np.frombuffer(entries[0]["low"], np.uint64), batch.reach[first])
+
+
+def test_packing_by_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = {1: "unbelievable transmogrification", 2: "ab12" * 9000, 3: None, 4: "", 5: "日本語 é x"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    own = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    want = {k: len(own.encode(t or "", add_special_tokens=False).ids) for k, t in texts.items()}
+    assert {r.doc_id: r.n_tokens for r in queries.op8_packing(spark, str(tmp_path)).collect()} == want
+    got = corpus_pipeline.pack_batches(spark, docs, "").collect()
+    assert {r.doc_id: r.n_ids for r in got} == want and all(r.n_ids <= r.bucket_len for r in got)
+
+
+def test_packing_bounds_are_lengths(spark):
+    got = packing.pack(spark.createDataFrame([(k, 9) for k in range(5)], "doc_id long, n long"), length=packing.F.col("n"), budget=18).collect()
+    assert {(r.bucket_len, r.batch) for r in got} == {(9, 0), (9, 1), (9, 2)}
