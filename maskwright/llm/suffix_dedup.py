@@ -1,27 +1,38 @@
 """Removal of repeated byte strings through a logarithmic family of sparse suffix arrays.
 
-Documents are cut into batches along doc_id. A batch's suffix array is sparse:
-it holds the suffixes at anchors, the positions whose ``Q``-byte prefix has the
-least hash within some window of ``length`` bytes, so that equal windows have
-an anchor at the same place. The entries, ordered by the hash of the prefix and
-then of the anchor's whole reach (all windows that it stands for), are dealt to
-buckets by prefix. In a bucket the batches come in order; each is merge-scanned
-against the levels before it for equal prefixes and equal reaches, and becomes
-a level itself; levels of like size merge, so that there are logarithmically
-many. An entry whose reach stands in an earlier document is a long match in
-full. Where only the prefix is shared, the windows of those few anchors are
-compared in a second round of the same kind. At last the matched windows of
-each document are merged into spans and cut.
-
-Everything a task holds is one batch of documents or one bucket of entries,
-and both are sized by parameters, not by the corpus. Equal entries of a batch
-are sent once, so text that millions of documents share meets in a bucket at
-most once for each batch.
+Documents are dealt to batches of about ``BATCH`` bytes by a hash of their row.
+A batch's suffix array is sparse: it holds the suffixes at anchors, the
+positions whose ``Q``-byte prefix has the least hash within some window of
+``length`` bytes, so that equal windows have an anchor at the same place. An
+anchor's context is the suffix as far as windows with this anchor reach, and
+the bytes before it that they reach. An entry of the array is the prefix, by
+whose bytes it is ordered, and then a hash (64 bits) of the context. Equal
+entries of a batch are sent once, with the least doc_id, to a bucket by the
+prefix, so that all suffixes that could share a window meet.
+
+In a bucket the family of levels takes one batch after the other: its array is
+merge-scanned against each level (both are sorted), an entry that stands there
+is a long match for whichever of the two has the greater doc_id, and the new
+entries become a level; levels of like size merge, so that there are
+logarithmically many. At the end the levels are one array. Entries with a
+neighbour that has the same prefix, but another context, go on to a second
+round with all their bytes: there the suffixes are sorted in full, and so are
+the bytes before the anchors, backwards. The common prefixes of neighbours in
+both orders tell for every split of a window whether two contexts share it:
+windows are equal if they lie in one stretch of both orders that agrees to the
+window's ends. At last the matched windows of each document are merged into
+spans and cut.
+
+A task holds one batch of documents or one bucket of entries; both are sized by
+parameters, not by the corpus. Text that millions of documents share meets in a
+bucket once for each batch at most. What can't be split is a prefix: all the
+different contexts of one ``Q``-byte string are compared in one bucket.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose
 nothing; rows with equal doc_id do not count as earlier for one another; a null
-doc_id comes before all others and removes nothing from itself. Empty tables
-give empty results; extra columns are ignored.
+doc_id comes before all others (with the least long, if that is an id) and
+removes nothing from itself. Empty tables give empty results; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -30,21 +41,21 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, PrefixHash, mix, prepare, text_buffers, text_slices
+from .common import U64, PrefixHash, mix, prepare, text_slices
 
 LENGTH = 50
 #: Bytes of the prefix by which anchors are found; fewer give fewer anchors, which are shared by chance more often.
 Q = 20
 #: Text of a batch and of the entries of a bucket, in bytes of documents.
-BATCH, BUCKET = 12 << 20, 16 << 20
-
-FULL, PROBE = 1, 2
+BATCH, BUCKET = 12 << 20, 8 << 20
+#: Contexts that are cut out of the text at once.
+CHUNK = 1 << 16
+_NULL = np.iinfo(np.int64).min
 
 
 def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -57,47 +68,54 @@ def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
     return x
 
 
-def _sorted(key: np.ndarray, value: np.ndarray, runs: bool = True) -> np.ndarray:
-    """The stable order by (key, value); fast where few keys are equal, or where the keys are a few sorted runs.
+class Layout:
+    """The bytes of a context: the suffix, the bytes before it backwards, and how many of either belong to it."""
 
-    Without runs, an unstable sort comes first, which is faster on keys in no order.
-    """
-    order = np.argsort(key, kind="stable" if runs else None)
-    same = key[order[1:]] == key[order[:-1]]
-    tied = np.zeros(len(order), bool)
-    tied[1:] |= same
-    tied[:-1] |= same
-    at = np.flatnonzero(tied)
-    part = order[at]
-    order[at] = part[np.lexsort((value[part], key[part]) if runs else (part, value[part], key[part]))]
-    return order
+    def __init__(self, length: int, q: int):
+        self.length, self.q, self.side = length, q, length - q
+        self.width = length + self.side + 4
+        self.kind = np.dtype(f"S{self.width}")
+        #: of an entry: the prefix and the hash of the context
+        self.entry = np.dtype(f"S{q + 8}")
+        self.mask_bytes = -(-(self.side + 1) // 8)
+
+    def sizes(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each context, the bytes before the anchor and those from it on."""
+        tail = text[:, -4:].astype(np.int64)
+        return tail[:, 2] * 256 + tail[:, 3], tail[:, 0] * 256 + tail[:, 1]
+
+
+def _text(rows: np.ndarray) -> np.ndarray:
+    """Sortable byte rows as a matrix."""
+    return np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), rows.dtype.itemsize)
 
 
 class Anchors:
     """The anchors of a slice of documents: position, document, and the window starts [first, last] that each stands for."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, length: int, q: int):
-        n, w = len(data), length - q + 1
-        self.data, self.off, self.length = data, off, length
-        self.hash = PrefixHash(data)
+    def __init__(self, data: np.ndarray, off: np.ndarray, lay: Layout):
+        n, w, length = len(data), lay.side + 1, lay.length
+        self.data, self.off, self.lay = data, off, lay
         if n < length:
             self.at = self.doc = self.first = self.last = np.zeros(0, np.int64)
-            self.key = np.zeros(0, U64)
+            self.prefix = self.reach = np.zeros(0, U64)
             return
-        key = self.hash.windows(q)
+        hashes = PrefixHash(data)
+        key = hashes.windows(lay.q)
         order = (key >> U64(32)).astype(np.uint32)
         least = _slide(order, w, np.minimum)  # of each window start
-        whole = np.zeros(len(least), bool)
-        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-            if b - a >= length:
-                whole[a : b - length + 1] = True
-        top = np.where(whole, least, 0)
+        whole = np.zeros(len(least) + 1, np.int8)
+        full = np.flatnonzero(np.diff(off) >= length)
+        whole[off[full]] += 1
+        whole[off[full + 1] - length + 1] -= 1
+        top = np.where(np.cumsum(whole[:-1], dtype=np.int8) > 0, least, 0)
         padded = np.zeros(len(top) + 2 * (w - 1), np.uint32)
         padded[w - 1 : w - 1 + len(top)] = top
         self.at = np.flatnonzero((_slide(padded, w, np.maximum) == order) & (order > 0))
-        self.key = mix(key[self.at] + U64(1))  # anchors have low hashes; their keys are to be even
+        self.prefix = mix(key[self.at] + U64(1))  # anchors have low hashes; these are even
         self.doc = np.searchsorted(off, self.at, side="right") - 1
         self.first, self.last = self._reach(padded, order, w)
+        self.reach = hashes.spans(self.first, self.last + length) + (self.at - self.first).astype(U64)
 
     def _reach(self, padded: np.ndarray, order: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
         """The run of window starts p in [at - w + 1, at] whose least hash is the anchor's."""
@@ -113,328 +131,349 @@ class Anchors:
             todo = todo[value[run[todo]] != mine[todo]]
         return np.maximum(starts[run], self.at) - (w - 1), np.minimum(ends[run] - 1, self.at + w - 1) - (w - 1)
 
-    def reach_hash(self) -> np.ndarray:
-        """Of the bytes of all its windows and of the anchor's place among them."""
-        return self.hash.spans(self.first, self.last + self.length) + (self.at - self.first).astype(U64)
-
-    def windows_of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The window starts of the given anchors, and the index into which of each."""
-        size = self.last[which] - self.first[which] + 1
-        of = np.repeat(np.arange(len(which)), size)
-        return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.first[which], size), of
+    def entries(self, which: np.ndarray) -> np.ndarray:
+        """The prefix and the context's hash of the given anchors."""
+        q, out = self.lay.q, np.empty((len(which), self.lay.entry.itemsize), np.uint8)
+        if len(which):
+            out[:, :q] = np.lib.stride_tricks.sliding_window_view(self.data, q)[self.at[which]]
+            out[:, q:] = self.reach[which].astype(">u8").view(np.uint8).reshape(-1, 8)
+        return out.reshape(-1).view(self.lay.entry)
+
+    def contexts(self, which: np.ndarray) -> np.ndarray:
+        """The contexts of the given anchors."""
+        lay, at = self.lay, self.at[which]
+        before, after = at - self.first[which], self.last[which] + lay.length - at
+        out = np.zeros((len(which), lay.width), np.uint8)
+        if len(which):
+            body = np.concatenate((np.zeros(lay.side, np.uint8), self.data, np.zeros(lay.length, np.uint8)))
+            view = np.lib.stride_tricks.sliding_window_view
+            out[:, : lay.length] = view(body, lay.length)[at + lay.side]
+            out[:, : lay.length][np.arange(lay.length) >= after[:, None]] = 0
+            if lay.side:
+                left = view(body, lay.side)[at][:, ::-1]
+                out[:, lay.length : -4] = np.where(np.arange(lay.side) < before[:, None], left, 0)
+            for k, x in ((-4, after), (-2, before)):
+                out[:, k], out[:, k + 1] = x >> 8, x & 255
+        return out.reshape(-1).view(lay.kind)
 
 
 class Batch:
-    """The documents of one batch in the order of doc_id, and its sparse suffix array."""
+    """The documents of one batch and its sparse suffix array, dealt to buckets.
 
-    def __init__(self, table: pa.Table, length: int, q: int):
+    ``rows`` are the distinct entries, by bucket and in each by their bytes;
+    ``least`` is the least doc_id of each and ``one`` some anchor of it, ``cut``
+    has the bounds of the buckets, and ``of`` gives the entry of each anchor.
+    """
+
+    def __init__(self, table: pa.Table, lay: Layout, n_buckets: int):
         table = table.combine_chunks()
-        order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
-        self.table = table.take(order)
-        ids = self.table.column("doc_id").combine_chunks() if self.table.num_rows else pa.array([], pa.int64())
-        self.rank = np.zeros(len(ids), np.int64)  # equal for rows with one doc_id
-        if len(ids) > 1:
-            same = pc.equal(ids[1:], ids[:-1]).to_pylist()
-            null = ids.is_null().to_pylist()
-            self.rank[1:] = np.cumsum([not (same[i] or null[i] and null[i + 1]) for i in range(len(same))])
-        self.parts: list[tuple[int, Anchors]] = []
-        row = 0
-        for i, j, data, off in text_slices(self.table.column("text")):
-            self.parts.append((i, Anchors(data, off, length, q)))
-            row = j
-        self.n = row
-        self.sizes = np.array([len(a.at) for _, a in self.parts], np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes))).astype(np.int64)
-        join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        self.key = join([a.key for _, a in self.parts], U64)
-        self.reach = join([a.reach_hash() for _, a in self.parts], U64)
-        self.doc = join([self.rank[i + a.doc] for i, a in self.parts], np.int64)
-
-    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct (key, reach), the least document of each, and for each anchor its entry."""
-        order = _sorted(self.key, self.reach, runs=False)  # anchors come by document
-        k, r = self.key[order], self.reach[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
-        of = np.empty(len(k), np.int64)
-        of[order] = np.cumsum(new) - 1
-        return order[new], self.doc[order[new]], of
-
-    def part_of(self, anchors: np.ndarray) -> Iterator[tuple[int, Anchors, np.ndarray, np.ndarray]]:
-        """Sorted anchor numbers by slice: (row, slice, own numbers, places in anchors)."""
-        cut = np.searchsorted(anchors, self.starts)
-        for k, (row, a) in enumerate(self.parts):
-            if cut[k + 1] > cut[k]:
-                yield row, a, anchors[cut[k] : cut[k + 1]] - self.starts[k], np.arange(cut[k], cut[k + 1])
-
-
-ENTRIES = "bucket int, batch int, high binary, low binary"
-FLAGS = "batch int, bucket int, kind int, which binary"
-
-
-def _by_bucket(high: np.ndarray, n: int) -> np.ndarray:
-    """Bounds of the buckets in sorted hashes: ranges of equal width."""
-    width = (1 << 64) // n + 1
-    return np.searchsorted(high, np.array([min(k * width, (1 << 64) - 1) for k in range(n)], U64)).tolist() + [len(high)]
-
-
-def _send(batch: int, high: np.ndarray, low: np.ndarray, n: int) -> pa.Table:
-    cut = _by_bucket(high, n)
-    full = [k for k in range(n) if cut[k + 1] > cut[k]]
-    return pa.table({
-        "bucket": pa.array(full, pa.int32()), "batch": pa.array([batch] * len(full), pa.int32()),
-        "high": pa.array([high[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary()),
-        "low": pa.array([low[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary()),
-    })
+        self.lay, self.ids_column = lay, table.column("doc_id")
+        ids = self.ids_column.combine_chunks() if table.num_rows else pa.array([], pa.int64())
+        self.ids = ids.fill_null(int(_NULL)).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.parts = [(i, Anchors(data, off, lay)) for i, _, data, off in text_slices(table.column("text"))] if table.num_rows else []
+        doc = [self.ids[i + a.doc] for i, a in self.parts]
+        self.sizes = np.array([0, *(len(a.at) for _, a in self.parts)], np.int64).cumsum()
+        self.doc = np.concatenate(doc) if doc else np.zeros(0, np.int64)
+        self._distinct(n_buckets)
+
+    def _gather(self, which: np.ndarray, f, kind: np.dtype) -> np.ndarray:
+        """f of anchors given by number, over all slices."""
+        out = np.zeros(len(which), kind)
+        part = np.searchsorted(self.sizes, which, side="right") - 1
+        for k in np.unique(part).tolist():
+            at = np.flatnonzero(part == k)
+            for c in range(0, len(at), CHUNK):
+                mine = at[c : c + CHUNK]
+                out[mine] = f(self.parts[k][1], which[mine] - self.sizes[k])
+        return out
+
+    def _distinct(self, n_buckets: int) -> None:
+        n = len(self.doc)
+        reach, prefix = (np.concatenate([getattr(a, x) for _, a in self.parts]) if self.parts else np.zeros(0, U64) for x in ("reach", "prefix"))
+        order = np.argsort(reach)
+        new = np.ones(n, bool)
+        new[1:] = (reach[order[1:]] != reach[order[:-1]]) | (prefix[order[1:]] != prefix[order[:-1]])
+        group = np.empty(n, np.int64)
+        group[order] = np.cumsum(new) - 1
+        one = order[new]
+        rows = self._gather(one, Anchors.entries, self.lay.entry)
+        bucket = ((prefix[one] >> U64(32)) * U64(n_buckets) >> U64(32)).astype(np.int32)
+        order = _byte_order(rows)
+        order = order[np.argsort(bucket[order], kind="stable")]
+        rows, bucket, one = rows[order], bucket[order], one[order]
+        new = np.ones(len(rows), bool)
+        if len(rows):
+            new[1:] = rows[1:] != rows[:-1]
+        place = np.empty(len(rows), np.int64)
+        place[order] = np.cumsum(new) - 1
+        self.of, self.rows, self.one = place[group] if n else group, rows[new], one[new]
+        self.least = np.full(len(self.rows), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.of, self.doc)
+        self.cut = np.searchsorted(bucket[new], np.arange(n_buckets + 1))
+
+    def contexts(self, entries: np.ndarray) -> np.ndarray:
+        return self._gather(self.one[entries], Anchors.contexts, self.lay.kind)
+
+
+def _byte_order(rows: np.ndarray) -> np.ndarray:
+    """The order of rows by their bytes: by the first eight, then, among equal ones, by all."""
+    if not len(rows):
+        return np.zeros(0, np.int64)
+    text, width = _text(rows), rows.dtype.itemsize
+    if width < 8:
+        return np.argsort(rows)
+    head = np.ascontiguousarray(text[:, :8]).view(">u8").reshape(-1).astype(U64)
+    order = np.argsort(head)
+    head = head[order]
+    same = head[1:] == head[:-1]
+    tied = np.zeros(len(rows), bool)
+    tied[1:] |= same
+    tied[:-1] |= same
+    at = np.flatnonzero(tied)
+    if len(at):
+        number = np.cumsum(np.concatenate(([True], ~same)))[at].astype(">u4")
+        wide = np.empty((len(at), width - 4), np.uint8)
+        wide[:, :4] = number.view(np.uint8).reshape(-1, 4)
+        wide[:, 4:] = text[order[at], 8:]
+        order[at] = order[at][np.argsort(wide.reshape(-1).view(f"S{width - 4}"))]
+    return order
 
 
-def _entry_table(batch: int, b: Batch, n: int) -> pa.Table:
-    """A batch's entries; the reach goes in full, as no bytes are compared where it is equal."""
-    first, _, _ = b.entries()
-    return _send(batch, b.key[first], b.reach[first], n)
+_CODEC = "zstd"
 
 
-class Family:
-    """Sorted levels of (key, value, batch, index); a level merges with the one below it while that is not twice as large."""
+def _pack(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), codec=_CODEC, asbytes=True) if len(x) else b""
 
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, ...]] = []
 
-    @staticmethod
-    def _merge(x: tuple, y: tuple) -> tuple:
-        """Distinct (key, value) of both; those of x, the earlier, stay."""
-        both = tuple(np.concatenate(c) for c in zip(x, y, strict=True))
-        order = _sorted(both[0], both[1])
-        out = tuple(c[order] for c in both)
-        new = np.ones(len(order), bool)
-        new[1:] = (out[0][1:] != out[0][:-1]) | (out[1][1:] != out[1][:-1])
-        return tuple(c[new] for c in out)
-
-    def scan(self, key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether any level holds each key, and each (key, value)."""
-        has_key, has_both = np.zeros(len(key), bool), np.zeros(len(key), bool)
-        for k, v, *_ in self.levels:
-            at = np.minimum(np.searchsorted(k, key), len(k) - 1)
-            has_key |= k[at] == key
-            todo = np.flatnonzero((k[at] == key) & ~has_both)
-            if len(todo):
-                pos = at[todo].copy()
-                live = np.ones(len(todo), bool)
-                while live.any():  # along the entries of one key, in the order of value
-                    on = np.flatnonzero(live)
-                    p = pos[on]
-                    same = (p < len(k)) & (k[np.minimum(p, len(k) - 1)] == key[todo[on]])
-                    v_at = v[np.minimum(p, len(k) - 1)]
-                    found = same & (v_at == value[todo[on]])
-                    has_both[todo[on[found]]] = True
-                    live[on[~same | found | (v_at > value[todo[on]])]] = False
-                    pos[on] += 1
-        return has_key, has_both
-
-    def add(self, level: tuple[np.ndarray, ...]) -> None:
-        if not len(level[0]):
-            return
-        while self.levels and len(self.levels[-1][0]) < 2 * len(level[0]):
-            level = self._merge(self.levels.pop(), level)
-        self.levels.append(level)
+def _unpack(raw: bytes, n: int, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.frombuffer(pa.decompress(raw, n * kind.itemsize, codec=_CODEC, asbytes=True), kind) if n else np.zeros(0, kind)
 
-    def all(self) -> tuple[np.ndarray, ...]:
-        if not self.levels:
-            return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
-        while len(self.levels) > 1:
-            y = self.levels.pop()
-            self.levels[-1] = self._merge(self.levels[-1], y)
-        return self.levels[0]
+
+#: In the first round rows are entries, in the second one contexts.
+ENTRIES = "bucket int, batch long, n int, rows binary, least binary"
+#: whole: bits of the entries that an earlier document holds; which: the entries that go on.
+FLAGS = "batch long, bucket int, n int, whole binary, n_part int, which binary"
+MASKS = "batch long, bucket int, n int, masks binary"
 
 
-def _flags(batch: np.ndarray, which: np.ndarray, bucket: int, kind: int) -> pa.Table:
-    order = np.argsort(batch, kind="stable")
-    b, w = batch[order], which[order].astype(np.uint32)
-    cut = np.flatnonzero(np.diff(b, prepend=-1))
-    ends = np.append(cut[1:], len(b))[: len(cut)]
+def _send(batch: int, rows: np.ndarray, least: np.ndarray, cut: np.ndarray) -> pa.Table:
+    full = np.flatnonzero(np.diff(cut)).tolist()
+    part = [slice(int(cut[k]), int(cut[k + 1])) for k in full]
     return pa.table({
-        "batch": pa.array(b[cut], pa.int32()), "bucket": pa.array([bucket] * len(cut), pa.int32()), "kind": pa.array([kind] * len(cut), pa.int32()),
-        "which": pa.array([w[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()),
+        "bucket": pa.array(full, pa.int32()), "batch": pa.array([batch] * len(full), pa.int64()), "n": pa.array([s.stop - s.start for s in part], pa.int32()),
+        "rows": pa.array([_pack(rows[s]) for s in part], pa.binary()), "least": pa.array([_pack(least[s]) for s in part], pa.binary()),
     })
 
 
-def _level(row: dict, low_kind) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row["high"], U64), np.frombuffer(row["low"], low_kind)
+def _entry_table(batch: int, b: Batch) -> pa.Table:
+    return _send(batch, b.rows, b.least, b.cut)
 
 
-def _match_entries(table: pa.Table) -> pa.Table:
-    """One bucket, first round: entries that stand in an earlier batch, and those that share only the prefix."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
-    bucket, family, out = rows[0]["bucket"], Family(), []
-    partial: list[np.ndarray] = []
-    for r in rows:
-        key, reach = _level(r, U64)
-        seen_key, seen = family.scan(key, reach)
-        full = np.flatnonzero(seen)
-        out.append(_flags(np.full(len(full), r["batch"]), full, bucket, FULL))
-        fresh = np.flatnonzero(~seen)
-        again = np.zeros(len(key), bool)  # another entry of the batch has the prefix
-        if len(key) > 1:
-            again[1:] = key[1:] == key[:-1]
-            again[:-1] |= again[1:]
-        partial.append(np.unique(key[fresh][(seen_key | again)[fresh]]))
-        family.add((key[fresh], reach[fresh], np.full(len(fresh), r["batch"], np.int32), fresh.astype(np.uint32)))
-    wanted = np.unique(np.concatenate(partial))
-    key, _, batch, which = family.all()
-    probe = np.isin(key, wanted, assume_unique=False) if len(wanted) else np.zeros(len(key), bool)
-    out.append(_flags(batch[probe].astype(np.int64), which[probe], bucket, PROBE))
-    return pa.concat_tables(out)
-
-
-def _match_windows(table: pa.Table) -> pa.Table:
-    """One bucket, second round: windows that stand in an earlier document."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
-    bucket, family, out = rows[0]["bucket"], Family(), []
-    for r in rows:
-        key, doc = _level(r, np.uint32)
-        seen, _ = family.scan(key, np.zeros(len(key), np.uint32))
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]  # sorted by (key, doc)
-        hit = np.flatnonzero(seen | (doc > least))
-        out.append(_flags(np.full(len(hit), r["batch"]), hit, bucket, PROBE))
-        own = np.flatnonzero(new & ~seen)
-        family.add((key[own], np.zeros(len(own), np.uint32), np.full(len(own), r["batch"], np.int32), own.astype(np.uint32)))
-    return pa.concat_tables(out)
+class Family:
+    """Sorted levels of distinct entries, each with its least doc_id and where that stands (batch, number); like levels merge."""
 
+    def __init__(self, kind: np.dtype):
+        self.kind, self.levels = kind, []
 
-def _read_flags(table: pa.Table, kind: int, cut: list[int]) -> np.ndarray:
-    found = [np.frombuffer(r["which"], np.uint32).astype(np.int64) + cut[r["bucket"]] for r in table.to_pylist() if r["kind"] == kind]
-    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    @staticmethod
+    def _merge(x: tuple, y: tuple) -> tuple:
+        """Both in one order; no entry is in both."""
+        at = np.searchsorted(x[0], y[0]) + np.arange(len(y[0]))
+        from_x = np.ones(len(x[0]) + len(y[0]), bool)
+        from_x[at] = False
+        out = []
+        for a, b in zip(x, y, strict=True):
+            c = np.empty(len(from_x), a.dtype)
+            c[from_x], c[at] = a, b
+            out.append(c)
+        return tuple(out)
+
+    def add(self, rows: np.ndarray, least: np.ndarray, batch: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Merge-scans a batch's sorted entries against the levels and makes what is new a level.
+
+        Gives which entries a smaller doc_id holds, which ones the same doc_id
+        holds in another batch, and the (batches, numbers) of entries that hold
+        their place no longer, as the batch has a smaller doc_id for them.
+        """
+        new, later, same, lost = np.ones(len(rows), bool), np.zeros(len(rows), bool), np.zeros(len(rows), bool), []
+        for k, g, of, number in self.levels:
+            todo = np.flatnonzero(new)
+            if not len(todo):
+                break
+            at = np.minimum(np.searchsorted(k, rows[todo]), len(k) - 1)
+            hit = k[at] == rows[todo]
+            todo, at = todo[hit], at[hit]
+            new[todo] = False
+            later[todo], same[todo] = g[at] < least[todo], g[at] == least[todo]
+            won = g[at] > least[todo]
+            if won.any():
+                todo, at = todo[won], at[won]
+                lost.append((of[at], number[at]))
+                g[at], of[at], number[at] = least[todo], batch, todo
+        fresh = np.flatnonzero(new)
+        if len(fresh):
+            level = (rows[fresh], least[fresh], np.full(len(fresh), batch, np.int64), fresh.astype(np.int64))
+            while self.levels and len(self.levels[-1][0]) < 2 * len(level[0]):
+                level = self._merge(self.levels.pop(), level)
+            self.levels.append(level)
+        return later, same, lost
 
+    def all(self) -> tuple[np.ndarray, ...]:
+        while len(self.levels) > 1:
+            y = self.levels.pop()
+            self.levels[-1] = self._merge(self.levels[-1], y)
+        z = np.zeros(0, np.int64)
+        return self.levels[0] if self.levels else (np.zeros(0, self.kind), z, z, z)
 
-class SuffixDedup:
-    """See the module; ``result`` gives a row for each document."""
 
-    def __init__(self, docs: DataFrame, length: int = LENGTH, q: int = Q, batch_bytes: int = BATCH, bucket_bytes: int = BUCKET):
-        self.spark = prepare(docs.sparkSession)
-        self.length, self.q = length, q
-        total, low, high, n_rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-        self.n_batches, self.n_buckets = max(1, -(-total // batch_bytes)), max(1, -(-total // bucket_bytes))
-        self.docs = self._batched(docs.select("doc_id", "text"))
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The length of the common prefix of each two rows."""
+    out = np.empty(len(a), np.int64)
+    for c in range(0, len(a), CHUNK):
+        differ = a[c : c + CHUNK] != b[c : c + CHUNK]
+        out[c : c + CHUNK] = np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+    return out
 
-    def _batched(self, docs: DataFrame) -> DataFrame:
-        """With the number of the batch, by ranges of doc_id that hold about as many rows each."""
-        n = self.n_batches
-        if n == 1:
-            return docs.withColumn("batch", F.lit(0))
-        at = [k / n for k in range(1, n)]
-        bounds = docs.agg(F.percentile_approx("doc_id", at, F.lit(max(10_000, 20 * n)))).first()[0]
-        bounds = np.unique(np.array(bounds, np.int64))
 
-        @F.pandas_udf("int")
-        def batch(ids: pd.Series) -> pd.Series:
-            missing = ids.isna().to_numpy()
-            out = np.searchsorted(bounds, ids.fillna(0).to_numpy().astype(np.int64), side="left")
-            return pd.Series(np.where(missing, 0, out).astype(np.int32))
+def shared_windows(rows: np.ndarray, least: np.ndarray, lay: Layout) -> np.ndarray:
+    """Of sorted contexts, as bits for each: the windows that one with a smaller doc_id has too.
 
-        return docs.withColumn("batch", batch("doc_id"))
+    Bit k stands for the window that begins k bytes before the anchor.
+    """
+    text, n = _text(rows), len(rows)
+    bits = np.zeros((n, lay.mask_bytes * 8), bool)
+    if n < 2:
+        return bits
+    before, after = lay.sizes(text)
+    up = np.zeros(n + 1, np.int64)  # common with the one before; 0 at the ends
+    up[1:-1] = _common(text[1:, : lay.length], text[:-1, : lay.length])
+    left = np.ascontiguousarray(text[:, lay.length : -4])
+    back = np.argsort(left.reshape(-1).view(f"S{lay.side}")) if lay.side else np.arange(n)
+    down = np.zeros(n + 1, np.int64)
+    down[1:-1] = _common(left[back[1:]], left[back[:-1]])
+    right_most, left_most = np.maximum(up[1:], up[:-1]), np.empty(n, np.int64)
+    left_most[back] = np.maximum(down[1:], down[:-1])
+    block = np.empty(n, np.int64)
+    for k in range(lay.side + 1):
+        r = lay.length - k
+        on = (before >= k) & (after >= r) & (right_most >= r)
+        if k:
+            on &= left_most >= k
+        idx = np.flatnonzero(on)
+        if len(idx) < 2:
+            continue
+        block[back] = np.cumsum(down[:-1] < k) if k else 0
+        key = np.cumsum(up[:-1] < r)[idx] * (n + 1) + block[idx]
+        order = np.argsort(key)
+        key, who = key[order], idx[order]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        first = np.repeat(np.minimum.reduceat(least[who], start), np.diff(np.append(start, len(who))))
+        bits[who[least[who] > first], k] = True
+    return bits
+
+
+def _match(table: pa.Table, lay: Layout) -> pa.Table:
+    """First round, one bucket: which entries of each batch an earlier document holds, and which ones share only their prefix."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
+    bucket, family = rows[0]["bucket"], Family(lay.entry)
+    whole: dict[int, np.ndarray] = {}
+    again: list[tuple[np.ndarray, np.ndarray, int, np.ndarray]] = []
+    for r in rows:
+        own, least = _unpack(r["rows"], r["n"], lay.entry), _unpack(r["least"], r["n"], np.int64)
+        r["rows"] = r["least"] = None
+        later, same, lost = family.add(own, least, r["batch"])
+        whole[r["batch"]] = later
+        for of, number in lost:
+            for b in np.unique(of).tolist():
+                whole[b][number[of == b]] = True
+        if same.any():
+            at = np.flatnonzero(same)
+            again.append((own[at], least[at], r["batch"], at))
+    key, least, batch, number = family.all()
+    prefix = _text(key)[:, : lay.q]
+    alike = _common(prefix[1:], prefix[:-1]) == lay.q
+    near = np.zeros(len(key), bool)
+    near[1:] |= alike
+    near[:-1] |= alike
+    of, which = [batch[near]], [number[near]]
+    for own, mine, b, at in again:  # other rows of a document whose id holds the entry
+        place = np.searchsorted(key, own)
+        whole[b][at[least[place] < mine]] = True
+        hit = near[place] & (least[place] == mine)
+        of, which = [*of, np.full(int(hit.sum()), b)], [*which, at[hit]]
+    of, which = np.concatenate(of), np.concatenate(which)
+    order = np.lexsort((which, of))
+    of, which = of[order], which[order].astype(np.uint32)
+    names = sorted(whole)
+    cut = np.searchsorted(of, np.array([*names, 1 << 62])).tolist()
+    part = [slice(cut[k], cut[k + 1]) for k in range(len(names))]
+    return pa.table({
+        "batch": pa.array(names, pa.int64()), "bucket": pa.array([bucket] * len(names), pa.int32()), "n": pa.array([len(whole[b]) for b in names], pa.int32()),
+        "whole": pa.array([_pack(np.packbits(whole[b])) for b in names], pa.binary()), "n_part": pa.array([s.stop - s.start for s in part], pa.int32()),
+        "which": pa.array([_pack(which[s]) for s in part], pa.binary()),
+    })
 
-    def _entries(self) -> DataFrame:
-        length, q, n = self.length, self.q, self.n_buckets
 
-        def run(key: tuple, table: pa.Table) -> pa.Table:
-            return _entry_table(key[0].as_py(), Batch(table, length, q), n)
+def _going_on(b: Batch, flags: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The entries that the first round passed on, in order, and the bounds of the buckets among them."""
+    found = [int(b.cut[r["bucket"]]) + _unpack(r["which"], r["n_part"], np.uint32).astype(np.int64) for r in flags.select(["bucket", "n_part", "which"]).to_pylist() if r["n_part"]]
+    entries = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return entries, np.searchsorted(entries, b.cut)
 
-        run.__annotations__ = {}
-        return self.docs.groupBy("batch").applyInArrow(run, ENTRIES)
 
-    def _windows(self, flags: DataFrame) -> DataFrame:
-        length, q, n = self.length, self.q, self.n_buckets
+def _context_table(batch: int, b: Batch, flags: pa.Table) -> pa.Table:
+    entries, cut = _going_on(b, flags)
+    return _send(batch, b.contexts(entries), b.least[entries], cut)
 
-        def run(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
-            if not table.num_rows or not (found.num_rows and PROBE in found.column("kind").to_pylist()):
-                return _send(0, np.zeros(0, U64), np.zeros(0, np.uint32), n)
-            b = Batch(table, length, q)
-            high, doc, _ = _probe_windows(b, found, n)
-            return _send(key[0].as_py(), high, doc, n)
 
-        run.__annotations__ = {}
-        return self.docs.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(run, ENTRIES)
+def _match_contexts(table: pa.Table, lay: Layout) -> pa.Table:
+    """Second round, one bucket: of each context the windows that an earlier document has, as bits."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
+    text = np.concatenate([_unpack(r["rows"], r["n"], lay.kind) for r in rows])
+    least = np.concatenate([_unpack(r["least"], r["n"], np.int64) for r in rows])
+    order = _byte_order(text)
+    masks = np.empty((len(text), lay.mask_bytes), np.uint8)
+    masks[order] = np.packbits(shared_windows(text[order], least[order], lay), axis=1, bitorder="little")
+    cut = np.cumsum([0] + [r["n"] for r in rows]).tolist()
+    return pa.table({
+        "batch": pa.array([r["batch"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "n": pa.array([r["n"] for r in rows], pa.int32()),
+        "masks": pa.array([_pack(masks[cut[k] : cut[k + 1]]) for k in range(len(rows))], pa.binary()),
+    })
 
-    def _cut(self, flags: DataFrame) -> DataFrame:
-        length, q, n = self.length, self.q, self.n_buckets
 
-        def run(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
-            b = Batch(table, length, q)
-            return _cut_batch(b, found, n, length)
+SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
 
-        run.__annotations__ = {}
-        return self.docs.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
 
-    def result(self) -> DataFrame:
-        """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed byte ranges) of every document."""
-        # one plan, in which the exchange of the documents by batch stands once and is read three times
-        first = self._entries().groupBy("bucket").applyInArrow(_typed(_match_entries), FLAGS)
-        second = self._windows(first).groupBy("bucket").applyInArrow(_typed(_match_windows), FLAGS)
-        return self._cut(first.union(second.withColumn("kind", F.lit(PROBE + 1))))
-
-
-def _typed(f):
-    def run(table: pa.Table) -> pa.Table:
-        return f(table)
-
-    run.__annotations__ = {"table": pa.Table, "return": pa.Table}
-    return run
-
-
-def _probe_windows(b: Batch, found: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """The windows of probe entries, sorted by (hash, document); with them where each stands."""
-    first, _, of = b.entries()
-    entry = _read_flags(found, PROBE, _by_bucket(b.key[first], n))
-    hashes, docs, slots, starts, anchors = [], [], [], [], []
-    probe = np.sort(first[entry])
-    for k, (row, a, own, _) in enumerate(b.part_of(probe)):
-        p, idx = a.windows_of(own)
-        hashes.append(a.hash.spans(p, p + a.length))
-        docs.append(b.rank[row + a.doc[own[idx]]])
-        starts.append(p - a.first[own[idx]])
-        anchors.append(own[idx] + b.starts[[x[0] for x in b.parts].index(row)])
-        slots.append(k)
-    if not hashes:
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, U64), np.zeros(0, np.uint32), (z, z, of)
-    h, d, s, at = (np.concatenate(x) for x in (hashes, docs, starts, anchors))
-    order = np.argsort(h, kind="stable")  # they come by document
-    return h[order], d[order].astype(np.uint32), (at[order], s[order], of)
-
-
-def _cut_batch(b: Batch, found: pa.Table, n: int, length: int) -> pa.Table:
-    first, least, of = b.entries()
-    cut = _by_bucket(b.key[first], n)
-    state = np.zeros(len(first), bool)
-    if found.num_rows:
-        state[_read_flags(found, FULL, cut)] = True
-    full = state[of] | (b.doc > least[of]) if len(of) else np.zeros(0, bool)
-    # window matches of the first holder, by entry, as (entry, place in its reach)
-    entry = place = np.zeros(0, np.int64)
-    if found.num_rows:
-        high, _, (at, start, _) = _probe_windows(b, found, n)
-        hit = _read_flags(found, PROBE + 1, _by_bucket(high, n))
-        entry, place = of[at[hit]], start[hit]
-        order = np.lexsort((place, entry))
-        entry, place = entry[order], place[order]
+def _cut_batch(b: Batch, flags: pa.Table, found: pa.Table) -> pa.Table:
+    """Both rounds' findings of one batch put to its documents."""
+    lay = b.lay
+    state, masks = np.zeros(len(b.rows), bool), np.zeros((len(b.rows), lay.mask_bytes), np.uint8)
+    for r in flags.to_pylist():
+        lo = int(b.cut[r["bucket"]])
+        state[lo : lo + r["n"]] = np.unpackbits(_unpack(r["whole"], -(-r["n"] // 8), np.uint8))[: r["n"]]
+    entries, cut = _going_on(b, flags)
+    for r in found.to_pylist():
+        at = entries[int(cut[r["bucket"]]) : int(cut[r["bucket"] + 1])]
+        masks[at] = _unpack(r["masks"], r["n"] * lay.mask_bytes, np.uint8).reshape(-1, lay.mask_bytes)
+    some = masks.any(axis=1)
     rows = []
     for k, (row, a) in enumerate(b.parts):
-        sl = slice(b.starts[k], b.starts[k + 1])
-        cover = np.zeros(len(a.data) + 1, np.int32)
-        on = full[sl]
-        np.add.at(cover, a.first[on], 1)
-        np.add.at(cover, a.last[on] + length, -1)
-        if len(entry):
-            rest = np.flatnonzero(~on)
-            lo, hi = np.searchsorted(entry, of[sl][rest]), np.searchsorted(entry, of[sl][rest], side="right")
-            size = hi - lo
-            idx = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-            p = np.repeat(a.first[rest], size) + place[idx]
-            np.add.at(cover, p, 1)
-            np.add.at(cover, p + length, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+        mine = slice(int(b.sizes[k]), int(b.sizes[k + 1]))
+        of = b.of[mine]
+        whole = state[of] | (b.doc[mine] > b.least[of])
+        step = np.zeros(len(a.data) + 1, np.int32)
+        np.add.at(step, a.first[whole], 1)
+        np.add.at(step, a.last[whole] + lay.length, -1)
+        rest = np.flatnonzero(~whole & some[of])
+        if len(rest):
+            bits = np.unpackbits(masks[of[rest]], axis=1, bitorder="little")
+            who, before = np.nonzero(bits)
+            p = a.at[rest[who]] - before
+            np.add.at(step, p, 1)
+            np.add.at(step, p + lay.length, -1)
+        gone = np.cumsum(step[:-1]) > 0
         raw = a.data.tobytes()
         for d in range(len(a.off) - 1):
             s, e = int(a.off[d]), int(a.off[d + 1])
@@ -449,11 +488,67 @@ def _cut_batch(b: Batch, found: pa.Table, n: int, length: int) -> pa.Table:
             rows.append((e - s, n_gone, len(spans), hashlib.sha256(kept).hexdigest(), spans))
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
     return pa.table({
-        "doc_id": b.table.column("doc_id"), "n_bytes": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "n_spans": pa.array(cols[2], pa.int64()),
+        "doc_id": b.ids_column, "n_bytes": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "n_spans": pa.array(cols[2], pa.int64()),
         "kept_sha256": pa.array(cols[3], pa.string()), "spans": pa.array(cols[4], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
     })
 
 
+def _by_batch(f, docs: DataFrame, found: DataFrame, kind: str) -> DataFrame:
+    """f(batch, documents, findings) over the batches."""
+
+    def run(key, table, other):
+        return f(key[0].as_py(), table, other)
+
+    run.__annotations__ = {}
+    return docs.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(run, kind)
+
+
+def _by_bucket(f, lay: Layout, sent: DataFrame, kind: str) -> DataFrame:
+    def run(table):
+        return f(table, lay)
+
+    run.__annotations__ = {}
+    return sent.groupBy("bucket").applyInArrow(run, kind)
+
+
+class SuffixDedup:
+    """See the module; ``result`` gives a row for each document."""
+
+    def __init__(self, docs: DataFrame, length: int = LENGTH, q: int = Q, batch_bytes: int = BATCH, bucket_bytes: int = BUCKET):
+        if not 0 < q <= length:
+            raise ValueError("q must be within length")
+        self.spark = prepare(docs.sparkSession)
+        self.lay = Layout(length, q)
+        total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        self.n_batches, self.n_buckets = max(1, -(-total // batch_bytes)), max(1, -(-total // bucket_bytes))
+        self.docs = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.n_batches)).alias("batch"))
+
+    def _flags(self) -> DataFrame:
+        lay, n = self.lay, self.n_buckets
+
+        def run(key, table):
+            return _entry_table(key[0].as_py(), Batch(table, lay, n))
+
+        run.__annotations__ = {}
+        return _by_bucket(_match, lay, self.docs.groupBy("batch").applyInArrow(run, ENTRIES), FLAGS)
+
+    def result(self) -> DataFrame:
+        """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed byte ranges) of every document."""
+        lay, n = self.lay, self.n_buckets
+        # read twice, from one exchange
+        flags = self._flags().repartition("batch")
+        context = lambda batch, table, found: _context_table(batch, Batch(table, lay, n), found)
+        masks = _by_bucket(_match_contexts, lay, _by_batch(context, self.docs, flags, ENTRIES), MASKS)
+        both = flags.withColumn("masks", F.lit(None).cast("binary")).unionByName(masks, allowMissingColumns=True)
+
+        def cut(batch, table, found):
+            first = pc.is_valid(found.column("whole"))
+            return _cut_batch(Batch(table, lay, n), found.filter(first), found.filter(pc.invert(first)))
+
+        # one plan, in which the exchange of the documents by batch stands once and is read three times
+        return _by_batch(cut, self.docs, both, SPANS)
+
+
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans: see SuffixDedup.result."""
     return SuffixDedup(docs, length).result()

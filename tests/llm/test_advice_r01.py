@@ -5,10 +5,10 @@ import gzip
 import zlib
 
 import numpy as np
-import pyarrow as pa
+
 
 import corpus_pipeline
-from maskwright.llm import packing, queries, secrets, suffix_dedup
+from maskwright.llm import packing, queries, secrets
 
 
 def spans(text):
@@ -71,20 +71,6 @@ def test_base64_documents_are_scanned(spark):
     assert got == {1: 1, 2: 0, 3: 1, 4: 0, 5: 0}
 
 
-def test_reach_is_compared_in_full():
-    key, low = np.array([7, 7], np.uint64), np.array([5 << 32, (5 << 32) + 1], np.uint64)
-    sent = [suffix_dedup._send(k, key[k : k + 1], low[k : k + 1], 1) for k in range(2)]
-    got = suffix_dedup._match_entries(pa.concat_tables(sent)).to_pylist()
-    assert {r["kind"] for r in got} == {suffix_dedup.PROBE}  # the upper halves alone are equal
-    again = suffix_dedup._match_entries(pa.concat_tables([sent[0], sent[0].set_column(1, "batch", pa.array([1], pa.int32()))])).to_pylist()
-    assert suffix_dedup.FULL in {r["kind"] for r in again}
-    docs = pa.table({"doc_id": [1], "text": ["".join(chr(97 + k * k % 23) for k in range(300))]})
-    batch = suffix_dedup.Batch(docs, 50, 20)
-    first, _, _ = batch.entries()
-    entries = suffix_dedup._entry_table(0, batch, 1).to_pylist()
-    assert np.array_equal(np.frombuffer(entries[0]["low"], np.uint64), batch.reach[first])
-
-
 def test_packing_by_ids(spark, tmp_path):
     from tokenizers import Tokenizer
 
