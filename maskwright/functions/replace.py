@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import domain_tag
+from .arrays import let
 
 DEMO_KEY = bytes(range(32))
 #: The frame of opaque tokens (fixed values).
@@ -86,12 +89,23 @@ def _ipv6() -> str:
     return rf"\A(?:{full}|{'|'.join(short)})\z"
 
 
-def hostname(value: Column, h: Column) -> Column:
-    """A port stays; IP shapes go by ipv4 and hex_digits; of names, at most the last two labels stay, none before a number."""
+def host_parts(value: Column) -> tuple[Column, Column, Column]:
+    """The port with its colon, the host, and the labels of the host that stay: at most the last two, none before a number."""
     port = F.regexp_extract(value, r":[0-9]+\z", 0)
     host = F.substr(value, F.lit(1), F.char_length(value) - F.char_length(port))
     labels = F.split(host, "\\.")
     tail = F.when(F.size(labels) < 2, "").when(F.element_at(labels, -1).rlike("^[0-9]+$"), "").when(F.size(labels) == 2, F.concat(F.lit("."), F.substring_index(host, ".", -1))).otherwise(F.concat(F.lit("."), F.substring_index(host, ".", -2)))
+    return port, host, tail
+
+
+def is_address(host: Column) -> Column:
+    """Whether a host has the shape of an IP address."""
+    return host.rlike(rf"\A{_IPV4}\z") | host.rlike(_ipv6())
+
+
+def hostname(value: Column, h: Column) -> Column:
+    """A port stays; IP shapes go by ipv4 and hex_digits; of names, the tail stays."""
+    port, host, tail = host_parts(value)
     n = F.octet_length(host)
     left = n - F.octet_length(tail)
     name = F.when(left <= 0, hex_of(h, n)).otherwise(F.concat(hex_of(h, left), tail))
@@ -101,8 +115,8 @@ def hostname(value: Column, h: Column) -> Column:
 #: Signs of opaque base64url runs, by number.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
 #: Parts of synthetic names, by number (fixed values).
-FIRST = "Alex Blake Casey Dana Ellis Finley Gray Harper Ira Jordan Kai Lane Morgan Noel Oakley Parker Quinn Reese Sage Taylor Uri Val Wren Xen Yael Zion Arden Blair Corin Drew Emery Frost".split()
-LAST = "Ashford Blackwell Crawford Dalton Eastwood Fairbanks Garrison Hartley Irvine Jensen Kendrick Langley Mercer Newland Oakwood Preston Quinlan Redmond Shepard Thornton Underwood Vance Whitmore Xavier Yardley Zimmer Ashton Beckett Calloway Dempsey Eldridge Fletcher".split()
+FIRST = ("Alex", "Blake", "Casey", "Dana", "Ellis", "Finley", "Gray", "Harper", "Ira", "Jordan", "Kai", "Lane", "Morgan", "Noel", "Oakley", "Parker", "Quinn", "Reese", "Sage", "Taylor", "Uri", "Val", "Wren", "Xen", "Yael", "Zion", "Arden", "Blair", "Corin", "Drew", "Emery", "Frost")
+LAST = ("Ashford", "Blackwell", "Crawford", "Dalton", "Eastwood", "Fairbanks", "Garrison", "Hartley", "Irvine", "Jensen", "Kendrick", "Langley", "Mercer", "Newland", "Oakwood", "Preston", "Quinlan", "Redmond", "Shepard", "Thornton", "Underwood", "Vance", "Whitmore", "Xavier", "Yardley", "Zimmer", "Ashton", "Beckett", "Calloway", "Dempsey", "Eldridge", "Fletcher")
 #: Path parts of Azure ids that stay (fixed values).
 AZURE_PARTS = ("subscriptions", "resourceGroups", "resourcegroups", "providers")
 
@@ -185,10 +199,34 @@ def token(value: Column, h: Column) -> Column:
 FORMATS = {"email": email, "ipv4": ipv4, "phone": digits, "credit_card": digits, "ssn": ssn, "ipv6": hex_digits, "mac_address": hex_digits, "uuid": hex_digits, "container_id": hex_digits, "hostname": hostname, "jwt": jwt, "file_path": file_path, "windows_sid": windows_sid, "url": url, "aws_arn": aws_arn, "azure_resource_id": azure_resource_id, "name": name}
 
 
+def is_mask(value: Column) -> Column:
+    """Whether a value is three or more of one masking sign."""
+    return value.rlike(r"\A(\*{3,}|•{3,}|#{3,})\z")
+
+
 def replace(value: Column, category: str, key: bytes = DEMO_KEY) -> Column:
     """The replacement of a value; empty stays empty, a mask (three or more of one sign) stays as it is.
 
     Tokens and custom categories become opaque tokens.
     """
-    made = FORMATS.get(category, token)(value, hmac_hex(value, category, key))
-    return F.when((value == "") | value.rlike("^(\\*{3,}|•{3,}|#{3,})$"), value).otherwise(made)
+    # the hash is used for every character: it is bound, not written out in each place
+    made = let(hmac_hex(value, category, key), lambda h: FORMATS.get(category, token)(value, h))
+    return F.when((value == "") | is_mask(value), value).otherwise(made)
+
+
+def replace_any(value: Column, which: Column, categories: Sequence[str], key: bytes = DEMO_KEY) -> Column:
+    """replace() by the category that which (a number) has in categories, with one hash for all of them."""
+    names = list(dict.fromkeys(categories))
+    inner = F.element_at(F.array(*(F.lit(hmac_parts(key, c)[0]) for c in categories)), which + 1)
+    outer = F.unhex(F.lit(hmac_parts(key, names[0])[1]))
+    h = F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(F.unhex(inner), F.encode(value, "UTF-8")), 256))), 256)
+
+    def made(h: Column) -> Column:
+        out, forms = None, {}
+        for k, c in enumerate(categories):
+            forms.setdefault(FORMATS.get(c, token), []).append(k)
+        for form, numbers in forms.items():
+            out = (F if out is None else out).when(which.isin(numbers), form(value, h))
+        return out
+
+    return F.when((value == "") | is_mask(value), value).otherwise(let(h, made))

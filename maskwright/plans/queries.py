@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.replace import DEMO_KEY, TOKEN_HEAD, TOKEN_TAIL, hmac_parts, replace
 from ..operators import report, scan, textutil
-from ..rules import BUILT_IN, BUILT_IN_ALLOWED
-from . import more, structured
-from .shapes import shapes
+from ..rules import BUILT_IN, BUILT_IN_ALLOWED, Rule
+from . import extra, more, structured
+from .shapes import kept, shapes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MAIN = BUILT_IN[:2]  # email and ipv4
 TEXTS = {"documents": ("doc_id", "text"), "pages": ("page_id", "html"), "conversations": ("conv_id", "text")}
 
 
@@ -105,26 +104,81 @@ def _replacement(category: str, value: str, made: str) -> None:
 for _c, (_v, _m) in (SHAPES | shapes(_byte)).items():
     _replacement(_c, _v, _m)
 
-_EITHER = _sql("|".join(f"(?:{r.pattern})" for r in MAIN))
-_PIECES = "WITH x AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{e}') AS hits FROM documents), y AS (SELECT *, regexp_split_to_array(text, '{e}') AS pieces FROM x)".format(e=_EITHER)
-_NEW = f"CASE WHEN contains(v, '@') THEN {_email('v', _hmac('v', 'email'))} ELSE {_ipv4('v', _hmac('v', 'ipv4'))} END"
+#: By category: the SQL of a built-in rule's replacement from v and h.
+_HEX_SIGN = "substr(h, (($k) % 64 + 1)::BIGINT, 1)"
+_SCHEME = "regexp_extract(v, '^[A-Za-z0-9+.-]*://')"
+_BEHIND = f"substr(v, length({_SCHEME}) + 1)"
+_MADE = {c: m for c, (_, m) in SHAPES.items()} | {
+    "jwt": shapes(_byte)["jwt"][1],
+    "file_path": kept("v", "[/]", _HEX_SIGN),
+    "aws_arn": kept("v", "[:/]", _HEX_SIGN),
+    "hostname": shapes(_byte)["hostname"][1].replace(" || ':8443'", ""),
+    "name": shapes(_byte)["name"][1],
+    "url": f"{_SCHEME} || CASE WHEN regexp_full_match({_BEHIND}, '[/:?=&#@.]*') THEN {_hex('h', f'strlen({_BEHIND})')} ELSE {kept(_BEHIND, '[/:?=&#@.]', _HEX_SIGN)} END",
+}
 
 
-@query(
-    "scan_redact_documents",
-    f"""{_PIECES},
-z AS (SELECT doc_id, k, hits[k] AS v FROM y, unnest(generate_series(1, len(hits))) AS t(k)),
-n AS (SELECT doc_id, list({_NEW} ORDER BY k) AS made FROM z GROUP BY doc_id)
-SELECT doc_id, CASE WHEN len(hits) = 0 THEN text ELSE array_to_string(list_transform(pieces, lambda p, i: p || coalesce(made[i], '')), '') END AS sanitized, len(hits)::BIGINT AS n_matches FROM y LEFT JOIN n USING (doc_id)""",
-)
-def scan_redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scan.redact(_read(spark, sf_dir, "documents"), "text", MAIN)
-    return out.select("doc_id", "sanitized", F.size("matches").cast("long").alias("n_matches"))
+def allowed_sql(v: str) -> str:
+    """Whether the built-in allow list has v."""
+    exact = ", ".join(f"'{_sql(p)}'" for p in BUILT_IN_ALLOWED if "*" not in p)
+    globs = [p.split("*") for p in BUILT_IN_ALLOWED if "*" in p]
+    return f"(lower({v}) IN ({exact})" + "".join(f" OR (starts_with(lower({v}), '{a}') AND ends_with(lower({v}), '{b}') AND length({v}) >= {len(a) + len(b)})" for a, b in globs) + ")"
+
+
+def selected_sql(table: str, id_: str, text: str, rules: tuple[Rule, ...] = BUILT_IN) -> str:
+    """CTEs x(id, text) and sel(id, k, start, stop, rule, hit, before, v, rest, category, label): the selected matches of a table's texts."""
+    each = []
+    for k, r in enumerate(rules):
+        whole = _sql(r.regex)
+        if r.has_group:
+            flags, before, group, behind = (_sql(p) for p in r.parts)
+            own = f"regexp_extract_all(text, '{flags}({before})({group}){behind}', 1) AS befores, regexp_extract_all(text, '{flags}({before})({group}){behind}', 2) AS vs"
+        else:
+            own = f"NULL::VARCHAR[] AS befores, regexp_extract_all(text, '{whole}') AS vs"
+        least, most = r.min_length or 0, (1 << 31) - 1 if r.max_length is None else r.max_length
+        each.append(f"SELECT id, {k} AS rule, {int(r.kind != 'literal')} AS kind, {least} AS least, {most} AS most, '{_sql(r.category)}' AS category, '{r.label}' AS label, regexp_extract_all(text, '{whole}') AS hits, {own}, regexp_split_to_array(text, '{whole}') AS gaps FROM x WHERE regexp_matches(text, '{whole}')")
+    rows = " UNION ALL ".join(each)
+    return f"""x AS (SELECT {id_} AS id, coalesce({text}, '') AS text FROM {table}), raw AS ({rows}),
+hit AS (SELECT id, rule, kind, category, label, hits[i] AS hit, coalesce(befores[i], '') AS before, vs[i] AS v, (list_sum(list_transform(list_slice(gaps, 1, i), lambda g: length(g))) + coalesce(list_sum(list_transform(list_slice(hits, 1, i - 1), lambda g: length(g))), 0))::BIGINT AS start FROM raw, unnest(generate_series(1, len(hits))) AS t(i) WHERE strlen(hits[i]) BETWEEN least AND most),
+listed AS (SELECT id, list(struct_pack(start := start, stop := start + length(hit), rule := rule, hit := hit, before := before, v := v, category := category, label := label) ORDER BY start, length(hit) DESC, kind, rule) AS ms FROM hit GROUP BY id),
+picked AS (SELECT id, list_reduce(list_transform(ms, lambda m: [m]), lambda acc, m: CASE WHEN m[1].start >= acc[-1].stop THEN list_concat(acc, m) ELSE acc END) AS ms FROM listed),
+sel AS (SELECT id, k, ms[k].start AS start, ms[k].stop AS stop, CASE WHEN k > 1 THEN ms[k - 1].stop ELSE 0 END AS past, ms[k].rule AS rule, ms[k].hit AS hit, ms[k].before AS before, ms[k].v AS v, ms[k].category AS category, ms[k].label AS label FROM picked, unnest(generate_series(1, len(ms))) AS t(k))"""
+
+
+def redacted_sql(table: str, id_: str, text: str, rules: tuple[Rule, ...] = BUILT_IN, allow: bool = True) -> str:
+    """CTEs up to done(id, sanitized, n): the texts with the selected matches replaced."""
+    categories = dict.fromkeys(r.category for r in rules)
+    hashed = "CASE category " + " ".join(f"WHEN '{_sql(c)}' THEN {_hmac('v', c)}" for c in categories) + " END"
+    made = "CASE " + (f"WHEN {allowed_sql('v')} THEN v " if allow else "") + r"WHEN regexp_full_match(v, '\*{3,}|•{3,}|#{3,}') OR v = '' THEN v " + " ".join(f"WHEN category = '{_sql(c)}' THEN {_MADE.get(c) or _token('v', 'h')}" for c in categories) + " END"
+    return f"""{selected_sql(table, id_, text, rules)},
+new AS (SELECT *, {made} AS made FROM (SELECT *, {hashed} AS h FROM sel)),
+joined AS (SELECT id, max(stop) AS past, count(*) AS n, string_agg(substr(text, past + 1, start - past) || before || made || substr(hit, length(before) + length(v) + 1), '' ORDER BY k) AS head FROM new JOIN x USING (id) GROUP BY id),
+done AS (SELECT id, CASE WHEN n IS NULL THEN text ELSE head || substr(text, past + 1) END AS sanitized, coalesce(n, 0)::BIGINT AS n FROM x LEFT JOIN joined USING (id))"""
+
+
+_SELECTED = "WITH " + selected_sql("documents", "doc_id", "text")
+
 
+def stays(value: Column) -> Column:
+    """Whether the built-in allow list has a value."""
+    return textutil.is_allowed(value, BUILT_IN_ALLOWED)
 
-@query("report_by_file", f"{_PIECES} SELECT doc_id, CASE WHEN contains(v, '@') THEN 'email' ELSE 'ipv4' END AS pattern, count(*) AS matches FROM (SELECT doc_id, unnest(hits) AS v FROM y) GROUP BY 1, 2")
+
+def _redact_table(name: str, table: str, id_: str, text: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = scan.redact(_read(spark, sf_dir, table).select(id_, text), text, BUILT_IN, allowed=stays)
+        return out.select(id_, "sanitized", F.size("matches").cast("long").alias("n_matches"))
+
+    query(name, f"WITH {redacted_sql(table, id_, text)} SELECT id AS {id_}, sanitized, n AS n_matches FROM done")(run)
+
+
+_redact_table("scan_redact_documents", "documents", "doc_id", "text")
+_redact_table("scan_redact_pages", "pages", "page_id", "html")
+
+
+@query("report_by_file", f"{_SELECTED} SELECT id AS doc_id, label AS pattern, count(*) AS matches FROM sel GROUP BY 1, 2")
 def report_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.counts(_read(spark, sf_dir, "documents"), "doc_id", "text", MAIN)
+    return scan.counts(_read(spark, sf_dir, "documents"), "doc_id", "text", BUILT_IN)
 
 
 @query("report_summary", f"SELECT pattern, count(*) AS files, sum(matches)::BIGINT AS matches FROM ({ORACLES['report_by_file']}) GROUP BY 1")
@@ -132,7 +186,10 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.summary(report_by_file(spark, sf_dir))
 
 
-@query("sarif_rules", f"SELECT DISTINCT pattern AS id, upper(left(pattern, 1)) || substr(pattern, 2) AS name, CASE WHEN pattern = 'email' THEN 'error' ELSE 'warning' END AS level FROM ({ORACLES['report_by_file']})")
+_LEVEL = "CASE WHEN pattern IN (" + ", ".join(f"'{e}'" for e in report.ERRORS) + ") THEN 'error' ELSE 'warning' END"
+
+
+@query("sarif_rules", f"SELECT DISTINCT pattern AS id, array_to_string(list_transform(string_split(replace(replace(pattern, ':', '_'), '-', '_'), '_'), lambda w: upper(left(w, 1)) || substr(w, 2)), '') AS name, {_LEVEL} AS level FROM ({ORACLES['report_by_file']})")
 def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.sarif_rules(report_by_file(spark, sf_dir))
 
@@ -147,26 +204,20 @@ def findings_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "match_locations",
-    f"""{_PIECES},
-z AS (SELECT doc_id, pieces, hits, k, array_to_string(list_transform(list_slice(pieces, 1, k), lambda p, i: CASE WHEN i = k THEN p ELSE p || hits[i] END), '') AS before FROM y, unnest(generate_series(1, len(hits))) AS t(k))
-SELECT doc_id, (length(before) - length(replace(before, chr(10), '')) + 1)::BIGINT AS line, strlen(before)::BIGINT AS byte_offset, CASE WHEN contains(hits[k], '@') THEN 'email' ELSE 'ipv4' END AS pattern FROM z""",
+    f"{_SELECTED} SELECT id AS doc_id, (length(left(text, start)) - length(replace(left(text, start), chr(10), '')) + 1)::BIGINT AS line, strlen(left(text, start))::BIGINT AS byte_offset, label AS pattern FROM sel JOIN x USING (id)",
 )
 def match_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.locations(_read(spark, sf_dir, "documents"), "doc_id", "text", MAIN)
+    return scan.locations(_read(spark, sf_dir, "documents"), "doc_id", "text", BUILT_IN)
 
 
-@query("store_dictionary", f"{_PIECES} SELECT DISTINCT CASE WHEN contains(v, '@') THEN 'email' ELSE 'ipv4' END AS category, v AS original FROM (SELECT unnest(hits) AS v FROM y)")
+@query("store_dictionary", f"{_SELECTED} SELECT DISTINCT category, v AS original FROM sel WHERE NOT {allowed_sql('v')}")
 def store_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    category = F.array(*(F.lit(r.category) for r in MAIN))
-    m = scan.with_matches(_read(spark, sf_dir, "documents"), "text", MAIN).select(F.explode("matches").alias("m"))
-    return m.select(F.element_at(category, F.col("m.rule") + 1).alias("category"), F.col("m.value").alias("original")).distinct()
+    return scan.dictionary(_read(spark, sf_dir, "documents"), "text", BUILT_IN, allowed=stays)
 
 
 def _counting(table: str, text: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = F.coalesce(F.col(text), F.lit(""))
-        sums = _read(spark, sf_dir, table).agg(*(F.sum(F.regexp_count(t, F.lit(r.regex))).alias(r.label) for r in BUILT_IN))
-        return sums.select(F.explode(F.map_from_arrays(F.array(*(F.lit(r.label) for r in BUILT_IN)), F.array(*(F.coalesce(r.label, F.lit(0)).cast("long") for r in BUILT_IN)))).alias("pattern", "matches"))
+        return scan.totals(_read(spark, sf_dir, table), text, BUILT_IN)
 
     QUERIES[f"scan_counts_{table}"] = run
     ORACLES[f"scan_counts_{table}"] = " UNION ALL ".join(f"SELECT '{r.label}' AS pattern, coalesce(sum(len(regexp_extract_all(coalesce({text}, ''), '{_sql(r.pattern)}'))), 0)::BIGINT AS matches FROM {table}" for r in BUILT_IN)
@@ -226,7 +277,7 @@ _KEYWORDS = ("inter", "ation", "que")
 w AS (SELECT doc_id, line_number, line, CASE WHEN contains(lower(line), 'inter') THEN 'inter' WHEN contains(lower(line), 'ation') THEN 'ation' WHEN contains(lower(line), 'que') THEN 'que' END AS keyword,
 coalesce(string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS before,
 coalesce(string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS after FROM l)
-SELECT doc_id, line_number, keyword, line, before, after FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_number) AS r FROM w WHERE keyword IS NOT NULL) WHERE r <= 5""",
+SELECT doc_id, line_number, keyword, line, before, after, n > 5 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_number) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM w WHERE keyword IS NOT NULL) WHERE r <= 5""",
 )
 def log_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textutil.log_context(_read(spark, sf_dir, "documents"), "doc_id", "text", _KEYWORDS, around=2, cap=5)
@@ -240,3 +291,4 @@ def archive_entry_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 structured.register(query, _hmac, _email, _token)
 more.register(query, _hmac, _email, _token, _byte, (report_by_file, ORACLES["report_by_file"]), (match_locations, ORACLES["match_locations"]))
+extra.register(query, extra.Sql(_hmac, _email, _token, _byte, _hex, selected_sql, redacted_sql, allowed_sql))
