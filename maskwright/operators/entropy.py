@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.entropy import entropy
 from ..functions.replace import DEMO_KEY, replace
-from .fields import entropy
 from .textutil import DELIMITERS
 
 #: What a token of each character set may hold (fixed values).

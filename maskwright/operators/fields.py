@@ -15,26 +15,64 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.replace import DEMO_KEY, replace
+from ..functions.arrays import splice
+from ..functions.entropy import entropy
+from ..functions.replace import DEMO_KEY, replace_any
 from ..sources import formats
 
 SPAN = "struct<path:string,start:int,stop:int,value:string,style:int>"
 
 
+#: Stands between the path of a value and a path inside of it.
+INSIDE = "\x1f"
+#: What a value may be read as (fixed names), and the reader of each.
+SUB_PROCESSORS = {"yaml": "yaml", "json": "json", "toml": "toml", "ini": "ini", "env": "env", "log_line": "log"}
+
+
 @dataclass(frozen=True)
 class FieldRule:
-    """pattern is a path glob; shorter values than min_length (bytes) stay, and no signal is asked for them."""
+    """pattern is a path glob; shorter values than min_length (bytes) stay, and no signal is asked for them.
+
+    With a sub_processor, the value is read as such a text itself and only what
+    sub_rules name in it is replaced; a value that is no such text, or that its
+    own format writes with escapes, is replaced as a whole.
+    """
 
     pattern: str
     category: str
     label: str = "profile-field"
     min_length: int = 0
+    sub_processor: str | None = None
+    sub_rules: tuple[FieldRule, ...] = ()
+
+    def __post_init__(self) -> None:
+        if self.sub_processor is not None and self.sub_processor not in SUB_PROCESSORS:
+            raise ValueError(f"unknown sub_processor {self.sub_processor!r}; there are {', '.join(SUB_PROCESSORS)}")
 
     @property
     def regex(self) -> str:
         return path_regex(self.pattern)
 
 
+@dataclass(frozen=True)
+class _Inner:
+    """A sub_rule under the path of its rule."""
+
+    regex: str
+    category: str
+    label: str
+    min_length: int
+
+
+def flat(rules: Sequence[FieldRule]) -> list:
+    """The rules, each behind those of the texts inside of its values."""
+    out: list = []
+    for r in rules:
+        out += [_Inner(r.regex.removesuffix(r"\z") + INSIDE + s.regex.removeprefix(r"(?s)\A"), s.category, s.label, s.min_length) for s in r.sub_rules]
+        out.append(r)
+    return out
+
+
 @dataclass(frozen=True)
 class Signal:
     """key is searched in the last part of a path, case aside; the value needs threshold bits a byte."""
@@ -45,10 +83,10 @@ class Signal:
     threshold: float = 3.0
 
 
-#: Names that speak of credentials, and the entropy that their values must have.
+#: The built-in signals (fixed values: what a key holds, label, the entropy that its value must have).
 SIGNALS = (
-    Signal(r"(?:^|[_.-])(?:password|passwd|secret|token|api_?key|private_?key|credential)s?$", threshold=3.0),
-    Signal(r"(?:^|[_.-])(?:auth|key|salt|signature|cert)$", threshold=3.5),
+    Signal(r"password|passwd|secret|private_key|api_secret|client_secret", label="field-signal:strong", threshold=3.0),
+    Signal(r"api_key|access_key|auth_token|token|signing_key|encryption_key|credential|cert", label="field-signal:medium", threshold=3.5),
 )
 
 
@@ -58,33 +96,36 @@ def _quote(s: str) -> str:
 
 def path_regex(glob: str) -> str:
     """A path glob as a pattern: the whole path; * is anything; *.x ends at a dot or is x itself; x.* begins with x and a dot."""
+    any_ = f"[^{INSIDE}]*"
     if "*" not in glob:
         return rf"(?s)\A{_quote(glob)}\z"
     if glob.startswith("*.") and "*" not in glob[2:]:
-        return rf"(?s)\A(?:.*\.)?{_quote(glob[2:])}\z"
-    return r"(?s)\A" + ".*".join(_quote(p) for p in glob.split("*")) + r"\z"
-
-
-def entropy(value: Column) -> Column:
-    """Shannon entropy in bits a byte; 0 for the empty text."""
-    h = F.hex(F.encode(value, "UTF-8"))
-    n = F.octet_length(value)
-    every = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(h, i * 2 + 1, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-
-    def add(acc: Column, b: Column) -> Column:
-        p = F.size(F.filter(every, lambda x: x == b)) / n
-        return acc - p * F.log2(p)
-
-    return F.aggregate(F.array_distinct(every), F.lit(0.0), add)
+        return rf"(?s)\A(?:{any_}\.)?{_quote(glob[2:])}\z"
+    return r"(?s)\A" + any_.join(_quote(p) for p in glob.split("*")) + r"\z"
+
+
+def _read(text: str, fmt: str, subs: list[tuple[re.Pattern, str]], options: dict) -> list[tuple] | None:
+    """The spans of a text, with those inside of values that a rule has a reader for."""
+    found = formats.spans(text, fmt, **options)
+    if found is None or not subs:
+        return found
+    out = []
+    for span in found:
+        path, start, stop, value = span[:4]
+        inner = next((f for p, f in subs if p.search(path)), None)
+        own = formats.spans(value, inner) if inner and text[start:stop] == value else None
+        out += [span] if own is None else [(f"{path}{INSIDE}{x[0]}", start + x[1], start + x[2], *x[3:]) for x in own]
+    return out
 
 
-def with_spans(df: DataFrame, text: str, fmt: str, **options) -> DataFrame:
+def with_spans(df: DataFrame, text: str, fmt: str, rules: Sequence[FieldRule] = (), **options) -> DataFrame:
     """df with spans; null where the text is null or not of the format."""
+    subs = [(r.regex.replace(r"\z", r"\Z"), SUB_PROCESSORS[r.sub_processor]) for r in rules if r.sub_processor]
 
     @F.pandas_udf(f"array<{SPAN}>")
     def read(texts: pd.Series) -> pd.Series:
-        names = ("path", "start", "stop", "value", "style")
-        return pd.Series([None if (s := formats.spans(t, fmt, **options)) is None else [dict(zip(names, x)) for x in s] for t in texts])
+        names, inner = ("path", "start", "stop", "value", "style"), [(re.compile(p), f) for p, f in subs]
+        return pd.Series([None if (s := _read(t, fmt, inner, options)) is None else [dict(zip(names, x)) for x in s] for t in texts])
 
     return df.withColumn("spans", read(F.col(text)))
 
@@ -95,7 +136,7 @@ def _chosen(span: Column, rules: Sequence[FieldRule], signals: Sequence[Signal])
     leaf = F.regexp_extract(span["path"], r"[^./@]*\z", 0)
     out = stays
     for k, s in reversed(list(enumerate(signals, len(rules)))):
-        hit = leaf.rlike(f"(?i){s.key}") & (entropy(span["value"]) >= s.threshold)
+        hit = ~F.contains(span["path"], F.lit(INSIDE)) & leaf.rlike(f"(?i){s.key}") & (entropy(span["value"]) >= s.threshold)
         out = F.when(hit, F.lit(k)).otherwise(out)
     for k, r in reversed(list(enumerate(rules))):
         fits = F.when(F.octet_length(span["value"]) >= r.min_length, F.lit(k)).otherwise(stays)
@@ -116,36 +157,24 @@ def _written(new: Column, style: Column) -> Column:
     return out.when(style == formats.XML, marked).when(style == formats.DOUBLED, F.replace(new, F.lit('"'), F.lit('""'))).otherwise(new)
 
 
-def _new(edit: Column, made_by: Sequence[FieldRule | Signal], key: bytes) -> Column:
-    by_category: dict[str, list[int]] = {}
-    for k, r in enumerate(made_by):
-        by_category.setdefault(r.category, []).append(k)
-    out = None
-    for category, numbers in by_category.items():
-        out = (F if out is None else out).when(edit["rule"].isin(numbers), replace(edit["value"], category, key))
-    return out
-
-
 def redact_fields(df: DataFrame, text: str, fmt: str, rules: Sequence[FieldRule], signals: Sequence[Signal] = (), key: bytes = DEMO_KEY, **options) -> DataFrame:
-    """df with edits and sanitized: the first rule that a path fits, else the first signal, replaces a value in its place.
+    """df with edits, parsed and sanitized: the first rule that a path fits, else the first signal, replaces a value in its place.
 
-    A null or empty text gives the empty one; a text not of the format stays as it is, without edits.
+    A null or empty text gives the empty one; a text not of the format stays as
+    it is, without edits, and is not parsed.
     """
-    made_by = [*rules, *signals]
+    every = flat(rules)
+    made_by = [*every, *signals]
     t = F.coalesce(F.col(text), F.lit(""))
-    out = with_spans(df, text, fmt, **options)
-    out = out.withColumn("edits", F.coalesce(edits(F.col("spans"), rules, signals), F.array().cast(f"array<{SPAN.replace('style:int', 'style:int,rule:int')}>"))).drop("spans")
-    splice = F.aggregate(
-        "edits",
-        F.struct(F.lit("").alias("t"), F.lit(0).alias("at")),
-        lambda acc, e: F.struct(F.concat(acc["t"], F.substr(t, acc["at"] + 1, e["start"] - acc["at"]), _written(_new(e, made_by, key), e["style"])).alias("t"), e["stop"].alias("at")),
-        lambda acc: F.concat(acc["t"], F.substr(t, acc["at"] + 1)),
-    )
-    return out.withColumn("sanitized", F.when(F.size("edits") > 0, splice).otherwise(t))
+    out = with_spans(df, text, fmt, rules, **options).withColumn("parsed", F.col("spans").isNotNull())
+    out = out.withColumn("edits", F.coalesce(edits(F.col("spans"), every, signals), F.array().cast(f"array<{SPAN.replace('style:int', 'style:int,rule:int')}>"))).drop("spans")
+    categories = [r.category for r in made_by]
+    new = lambda e: _written(replace_any(e["value"], e["rule"], categories, key), e["style"])
+    return out.withColumn("sanitized", splice(t, F.col("edits"), "start", "stop", new) if made_by else t)
 
 
 def dictionary(redacted: DataFrame, rules: Sequence[FieldRule], signals: Sequence[Signal] = ()) -> DataFrame:
     """category, original: each value that was replaced, once."""
-    categories = F.array(*(F.lit(r.category) for r in [*rules, *signals]))
+    categories = F.array(*(F.lit(r.category) for r in [*flat(rules), *signals]))
     e = redacted.select(F.explode("edits").alias("e"))
     return e.select(F.element_at(categories, F.col("e.rule") + 1).alias("category"), F.col("e.value").alias("original")).distinct()

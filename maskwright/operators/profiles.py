@@ -55,19 +55,28 @@ def discover(df: DataFrame, path: str, text: str, profiles: Sequence[Profile]) -
     return reduce(DataFrame.union, parts).distinct()
 
 
-def sanitize(df: DataFrame, path: str, text: str, rules: Sequence[Rule], profiles: Sequence[Profile] = (), tokens: Sequence[entropy.EntropyRule] = (), key: bytes = DEMO_KEY, allowed: Callable[[Column], Column] | None = None) -> DataFrame:
+def _renumbered(made, rules: Sequence[Rule], which: Sequence[Rule]):
+    """made() for some of the rules, by their numbers among them."""
+    if made is None or len(which) == len(rules):
+        return made
+    numbers = F.array(*(F.lit(list(rules).index(r)) for r in which))
+    return lambda value, rule: made(value, F.element_at(numbers, rule + 1))
+
+
+def sanitize(df: DataFrame, path: str, text: str, rules: Sequence[Rule], profiles: Sequence[Profile] = (), tokens: Sequence[entropy.EntropyRule] = (), key: bytes = DEMO_KEY, allowed: Callable[[Column], Column] | None = None, made: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """path and sanitized of every input (null texts as empty ones; rows of equal paths stay apart).
 
     First the fields that profiles name are replaced; then every value found
     so, wherever else it stands and in any escaped form; then the rules'
-    matches (without the key-value rules where a profile has read the text);
-    last, tokens that look random.
+    matches (without the key-value rules where a profile has read the text; a
+    text that its profile's reader cannot parse gets them all); last, tokens
+    that look random.
     """
     chosen = choose(df.select(F.col(path).alias("path"), F.col(text).alias("text")), "path", profiles)
     parts = [chosen.where("profile is null").select("path", "text", "profile")]
     for k, p in enumerate(profiles):
         read = fields.redact_fields(chosen.where(F.col("profile") == k), "text", p.format, p.rules, p.signals, key, **p.options)
-        parts.append(read.select("path", F.col("sanitized").alias("text"), "profile"))
+        parts.append(read.select("path", F.col("sanitized").alias("text"), F.when(F.col("parsed"), F.col("profile")).alias("profile")))
     out = reduce(DataFrame.unionByName, parts)
     if profiles:
         known = propagate.redact_known(out, "text", discover(df, path, text, profiles), key, escaped=True)
@@ -75,6 +84,6 @@ def sanitize(df: DataFrame, path: str, text: str, rules: Sequence[Rule], profile
     if rules:
         bare = [r for r in rules if not r.label.endswith("_kv")]
         scanned = [out] if len(bare) == len(rules) or not profiles else [out.where("profile is null"), out.where("profile is not null")]
-        done = [scan.redact(part, "text", which, key, allowed) if which else part.withColumn("sanitized", F.coalesce("text", F.lit(""))) for part, which in zip(scanned, (rules, bare), strict=False)]
+        done = [scan.redact(part, "text", which, key, allowed, made=_renumbered(made, rules, which)) if which else part.withColumn("sanitized", F.coalesce("text", F.lit(""))) for part, which in zip(scanned, (rules, bare), strict=False)]
         out = reduce(DataFrame.unionByName, [d.select("path", F.col("sanitized").alias("text"), "profile") for d in done])
     return entropy.redact_tokens(out, "text", tokens, key).select("path", "sanitized")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,98 @@ def ndjson(counts: DataFrame, id_: str) -> DataFrame:
     return counts.groupBy(id_).agg(F.to_json(F.struct(F.col(id_).cast("string").alias("path"), F.sum("matches").alias("matches"), labels.alias("patterns"))).alias("line"))
 
 
+def files(df: DataFrame, id_: str, text: str, counts: DataFrame, method: Column | str = "scanner") -> DataFrame:
+    """id, method, bytes, matches and patterns (label to matches) of every row of df, those without findings included.
+
+    method says how a row was read: a column, or one name for all.
+    """
+    labels = F.map_from_entries(F.sort_array(F.collect_list(F.struct("pattern", "matches"))))
+    found = counts.groupBy(id_).agg(F.sum("matches").alias("matches"), labels.alias("patterns"))
+    own = df.select(id_, (F.lit(method) if isinstance(method, str) else method).alias("method"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("bytes"))
+    none = F.create_map().cast("map<string,bigint>")
+    return own.join(found, id_, "left").select(id_, "method", "bytes", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("patterns", none).alias("patterns"))
+
+
+def findings(per_file: DataFrame, id_: str) -> DataFrame:
+    """NDJSON lines (kind, file, line) of files(): one for each file and a summary, which has no file."""
+    some = F.when(F.size("patterns") > 0, F.col("patterns"))
+    one = F.to_json(F.struct(F.lit("file").alias("type"), F.col(id_).cast("string").alias("file"), "matches", (F.col("matches") == 0).alias("clean"), some.alias("patterns"), F.col("bytes").alias("bytes_processed")))
+    lines = per_file.select(F.lit("file").alias("kind"), F.col(id_).cast("string").alias("file"), one.alias("line"))
+    n, total = F.count("*"), F.coalesce(F.sum("matches"), F.lit(0))
+    last = per_file.agg(F.to_json(F.struct(F.lit("summary").alias("type"), n.alias("files"), total.alias("matches"), (total == 0).alias("clean"))).alias("line"))
+    return lines.unionByName(last.select(F.lit("summary").alias("kind"), F.lit(None).cast("string").alias("file"), "line"))
+
+
+def archive_stats(entries: DataFrame, structured: Column | None = None, taken: Column | None = None) -> DataFrame:
+    """archive, files, nested, filtered, structured, scanned and bytes of entries() rows.
+
+    structured and taken tell of an entry whether a format reader takes it and
+    whether the entry filter lets it pass.
+    """
+    passed, read = F.lit(True) if taken is None else taken, F.lit(False) if structured is None else structured
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    nested = F.when(F.col("depth") > 1, F.substring_index("entry", "!", 1))
+    return entries.groupBy("archive").agg(
+        count(passed).alias("files"), F.count_distinct(nested).alias("nested"), count(~passed).alias("filtered"), count(passed & read).alias("structured"), count(passed & ~read).alias("scanned"), F.sum(F.when(passed, F.octet_length("content")).otherwise(0)).cast("long").alias("bytes")
+    )
+
+
+def with_edits(counts: DataFrame, edited: DataFrame, id_: str, label: str = "profile-field") -> DataFrame:
+    """counts with a row for the fields that readers replaced in each text (a column n_edits of edited)."""
+    own = edited.where("n_edits > 0").select(id_, F.lit(label).alias("pattern"), F.col("n_edits").cast("long").alias("matches"))
+    return counts.select(id_, "pattern", "matches").unionByName(own).groupBy(id_, "pattern").agg(F.sum("matches").alias("matches"))
+
+
+@dataclass(frozen=True)
+class Metadata:
+    """What a run was made with; a report holds it beside the totals."""
+
+    version: str
+    timestamp: str
+    deterministic: bool = False
+    dry_run: bool = False
+    strict: bool = False
+    chunk_size: int = 0
+    threads: int | None = None
+    secrets_file: str | None = None
+
+    def row(self) -> Column:
+        return F.struct(*(F.lit(v).cast("string" if v is None else {str: "string", bool: "boolean", int: "bigint"}[type(v)]).alias(k) for k, v in vars(self).items()))
+
+
+def whole(per_file: DataFrame, id_: str, metadata: Metadata) -> DataFrame:
+    """The report's head as JSON (column report): metadata and summary; the files themselves stay the rows of per_file.
+
+    A report of one document with all files in it would be gathered in one
+    place; json_report() makes that where it is asked for.
+    """
+    return _head(per_file, metadata).select(F.to_json(F.struct("metadata", "summary")).alias("report"))
+
+
+def _head(per_file: DataFrame, metadata: Metadata) -> DataFrame:
+    by_label = per_file.select(F.explode("patterns").alias("pattern", "matches")).groupBy("pattern").agg(F.sum("matches").alias("matches"))
+    patterns = by_label.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("pattern", "matches")))).alias("pattern_counts"))
+    total = per_file.agg(F.count("*").alias("total_files"), F.coalesce(F.sum("matches"), F.lit(0)).alias("total_matches"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_bytes_processed"))
+    one = F.lit(0).alias("one")  # either side is one row
+    return total.select("*", one).join(patterns.select("*", one), "one").select(metadata.row().alias("metadata"), F.struct("total_files", "total_matches", "total_bytes_processed", "pattern_counts").alias("summary"))
+
+
+def json_report(per_file: DataFrame, id_: str, metadata: Metadata, pretty: bool = False) -> str:
+    """One JSON text with metadata, summary and every file, as a small run's report is written."""
+    import json
+
+    head = json.loads(whole(per_file, id_, metadata).first()["report"])
+    rows = per_file.orderBy(id_).toLocalIterator()
+    head["files"] = [{"path": str(r[id_]), "method": r["method"], "matches": r["matches"], "bytes_processed": r["bytes"], "pattern_counts": dict(sorted(r["patterns"].items()))} for r in rows]
+    return json.dumps(head, indent=2) if pretty else json.dumps(head, separators=(",", ":"))
+
+
+def with_context(per_file: DataFrame, context: DataFrame, id_: str) -> DataFrame:
+    """files() with log_context: the lines of textutil.log_context() that belong to each file, in order."""
+    own = context.groupBy(id_).agg(F.sort_array(F.collect_list(F.struct("line_number", "keyword", "line", "before", "after"))).alias("log_context"), F.max("truncated").alias("log_context_truncated"))
+    return per_file.join(own, id_, "left")
+
+
 def sarif_results(counts: DataFrame, id_: str, locations: DataFrame | None = None) -> DataFrame:
     """One result for each file and label: rule_id, level, message, uri and, where locations know it, start_line."""
     uri = F.replace(F.col(id_).cast("string"), F.lit("\\"), F.lit("/"))

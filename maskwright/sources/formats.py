@@ -31,7 +31,32 @@ def _join(path: str, key: str, by: str = ".") -> str:
 _JSON_TOKEN = re.compile(r'\s*(?:("(?:[^"\\]|\\.)*")|([\[\]{},:])|([^\s\[\]{},:"]+))', re.S)
 
 
+_JSON_COMMENT = re.compile(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/', re.S)
+_JSON_COMMA = re.compile(r'("(?:[^"\\]|\\.)*")|,(?=\s*[\]}])', re.S)
+
+
+def _blanked(text: str) -> str:
+    """The text with comments and trailing commas as spaces: every other character stays in its place."""
+    blank = lambda m: m[1] or re.sub(r"[^\n]", " ", m[0])
+    return _JSON_COMMA.sub(blank, _JSON_COMMENT.sub(blank, text))
+
+
 def json(text: str, base: int = 0) -> list[Span]:
+    """Every scalar of a JSON value by its dotted path; arrays leave the path as it is.
+
+    A text that is no JSON as it stands is read without its comments and
+    trailing commas.
+    """
+    try:
+        return _strict_json(text, base)
+    except Malformed:
+        plain = _blanked(text)
+        if plain == text:
+            raise
+        return _strict_json(plain, base)
+
+
+def _strict_json(text: str, base: int) -> list[Span]:
     """Every scalar of a JSON value by its dotted path; arrays leave the path as it is."""
     out: list[Span] = []
     stack: list[tuple[str, str]] = []  # (closing sign, path)
@@ -204,8 +229,13 @@ def ini(text: str) -> list[Span]:
 _HEREDOC = re.compile(r"<<[-~]?([\"']?)([A-Za-z_][A-Za-z0-9_]*)\1\s*$")
 
 
-def key_value(text: str, delimiter: str = "=", comment_prefix: str = "#", ignore_comments: bool = False) -> list[Span]:
-    """key = value lines, commented ones too unless ignore_comments; a here-document is one value."""
+def key_value(text: str, delimiter: str = "=", comment_prefix: str = "#", ignore_comments: bool = False, secondary_delimiters: tuple[str, ...] = (), value_strip_suffix: str = "") -> list[Span]:
+    """key = value lines, commented ones too unless ignore_comments; a here-document is one value.
+
+    A line without the delimiter, or with a secondary one at the same place or
+    before it, is cut at the first secondary delimiter that it has ("'key' => 'value',").
+    A suffix to strip stays in the text and is no part of the value.
+    """
     out: list[Span] = []
     inside: tuple[str, str, int] | None = None  # key, end mark, start
     for at, line in _lines(text):
@@ -220,11 +250,18 @@ def key_value(text: str, delimiter: str = "=", comment_prefix: str = "#", ignore
             if ignore_comments:
                 continue
             body = body[len(comment_prefix) :].lstrip()
-        k = body.find(delimiter)
+        k, by = body.find(delimiter), delimiter
+        for other in secondary_delimiters:
+            j = body.find(other)
+            if j > 0 and (k <= 0 or j < k or j == k and len(other) > len(by)):
+                k, by = j, other
+                break
         if k <= 0:
             continue
         key = body[:k].strip()
-        begin = len(line) - len(body) + k + len(delimiter)
+        if by != delimiter:
+            key = key.strip("\"':")
+        begin = len(line) - len(body) + k + len(by)
         begin += len(line[begin:]) - len(line[begin:].lstrip())
         if (m := _HEREDOC.search(line, begin)) is not None:
             inside = (key, m.group(2), _next_line(text, at))
@@ -234,6 +271,8 @@ def key_value(text: str, delimiter: str = "=", comment_prefix: str = "#", ignore
             begin += 1
         else:
             stop = len(line.rstrip().rstrip(",;"))
+        if value_strip_suffix and line[begin:stop].endswith(value_strip_suffix):
+            stop -= len(value_strip_suffix)
         if stop > begin:
             out.append((key, at + begin, at + stop, line[begin:stop], RAW))
     return out
@@ -414,10 +453,6 @@ def yaml(text: str) -> list[Span]:
 
 
 READERS: dict[str, Callable[..., list[Span]]] = {"json": json, "jsonl": jsonl, "yaml": yaml, "toml": toml, "xml": xml, "csv": csv, "tsv": tsv, "env": env, "ini": ini, "key_value": key_value, "log": log, "log_line": log, "command_output": command_output, "columns": columns}
-#: File name ends by format (fixed values).
-EXTENSIONS = {".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".xml": "xml", ".csv": "csv", ".tsv": "tsv", ".env": "env", ".ini": "ini", ".cfg": "ini", ".conf": "key_value", ".properties": "key_value", ".rb": "key_value", ".log": "log"}
-
-
 def spans(text: str | None, fmt: str, **options) -> list[Span] | None:
     """The reader's spans; None for a null text or one that it cannot parse."""
     if text is None:
