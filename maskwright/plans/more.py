@@ -106,7 +106,7 @@ SELECT doc_id, coalesce(sanitized, text) AS sanitized, coalesce(n_entropy, 0)::B
         raw = F.when(n == 0, F.encode("c_name", "UTF-8")).when(n == 1, F.unhex(F.lit("4100"))).otherwise(F.unhex(F.lit("4101024243")))
         return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", inputs.looks_binary(raw).alias("is_binary"))
 
-    results = f"SELECT doc_id::VARCHAR AS uri, pattern AS rule_id, CASE WHEN pattern = 'email' THEN 'error' ELSE 'warning' END AS level, matches || ' sensitive value(s) of type ''' || pattern || ''' detected and sanitized.' AS message, start_line FROM ({by_file[1]}) JOIN (SELECT doc_id, pattern, arg_min(line, byte_offset) AS start_line FROM ({locations[1]}) GROUP BY doc_id, pattern) USING (doc_id, pattern)"
+    results = f"SELECT doc_id::VARCHAR AS uri, pattern AS rule_id, CASE WHEN pattern IN ('email', 'name', 'phone', 'credit_card', 'ssn', 'auth_token', 'jwt') THEN 'error' ELSE 'warning' END AS level, matches || ' sensitive value(s) of type ''' || pattern || ''' detected and sanitized.' AS message, start_line FROM ({by_file[1]}) JOIN (SELECT doc_id, pattern, arg_min(line, byte_offset) AS start_line FROM ({locations[1]}) GROUP BY doc_id, pattern) USING (doc_id, pattern)"
 
     @query("sarif_results", results)
     def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:

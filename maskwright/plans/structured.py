@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import fields, propagate
 from ..operators.fields import FieldRule
 
-VALUES = {"mail": "concat(lower(replace(c_name, '#', '.')), '@corp.example')", "key": "concat('k', md5(c_name))", "seg": "c_mktsegment", "no": "cast(c_custkey as {text})"}
+VALUES = {"mail": "concat(lower(replace(c_name, '#', '.')), '@corp.example')", "key": "concat('k', md5(c_name))", "seg": "c_mktsegment", "tok": "concat('abcdefghijklmnopqrstuv-', cast(c_custkey as {text}))", "no": "cast(c_custkey as {text})"}
 RULES = (FieldRule("*email", "email"), FieldRule("*.api_key", "auth_token", min_length=8), FieldRule("account", "custom:account"))
 
 #: format: (text, what it becomes, options). In the second, {=x} is the replacement of x.
@@ -72,9 +72,11 @@ def register(query: Callable, hmac: Callable[[str, str], str], email: Callable[[
         n = len(re.findall(r"\{=|\{Q\}", after))
         query(f"{fmt}_redact", f"{base} SELECT c_custkey, {_concat(after, column)} AS sanitized, {n}::BIGINT AS n_edits FROM x")(run)
 
-    signal_text = '{"password": "{key}", "note": "{key}", "db": {"secret": "aaaaaaaaaaaa", "token": "{key}"}, "short_secret": "ab"}'
+    signal_text = '{"password": "{key}", "note": "{key}", "db": {"secret": "aaaaaaaaaaaa", "token": "{tok}", "password_hash": "{key}", "clientSecret": "{key}", "csrf-token": "abcdefghij"}, "short_secret": "ab", "key": "{tok}"}'
+    signal_done = '{"password": "{=cred}", "note": "{key}", "db": {"secret": "aaaaaaaaaaaa", "token": "{=tok}", "password_hash": "{=cred}", "clientSecret": "{=cred}", "csrf-token": "abcdefghij"}, "short_secret": "ab", "key": "{tok}"}'
+    cred = f"{base}, y AS (SELECT *, {token('key', hmac('key', 'custom:credential'))} AS new_cred, {token('tok', hmac('tok', 'custom:credential'))} AS new_tok FROM x)"
 
-    @query("field_signal_json", f"{base}, y AS (SELECT *, {token('key', hmac('key', 'custom:credential'))} AS new_cred FROM x) SELECT c_custkey, " + _concat('{"password": "{=cred}", "note": "{key}", "db": {"secret": "aaaaaaaaaaaa", "token": "{=cred}"}, "short_secret": "ab"}', column) + " AS sanitized FROM y")
+    @query("field_signal_json", f"{cred} SELECT c_custkey, {_concat(signal_done, column)} AS sanitized FROM y")
     def field_signal_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fields.redact_fields(_made(spark, sf_dir, signal_text), "text", "json", (), fields.SIGNALS).select("c_custkey", "sanitized")
 
