@@ -152,7 +152,7 @@ def byte_format(n: Column) -> Column:
     """Bytes as B, KiB, MiB or GiB, the latter with one decimal."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in ((10, "KiB"), (20, "MiB"), (30, "GiB")):
-        out = F.when(n >= 1 << k, F.format_string(f"%.1f {unit}", n.cast("double") / (1 << k))).otherwise(out)
+        out = F.when(n >= 1 << k, F.format_string(f"%.1f {unit}", F.bround(n.cast("double") / (1 << k), 1))).otherwise(out)
     return out
 
 

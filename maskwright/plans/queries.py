@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.replace import DEMO_KEY, TOKEN_HEAD, TOKEN_TAIL, hmac_parts, replace
 from ..operators import report, scan, textutil
-from ..rules import BUILT_IN, BUILT_IN_ALLOWED, Rule
+from ..rules import BUILT_IN, BUILT_IN_ALLOWED, Rule, cut_at_group
 from . import extra, more, structured
 from .shapes import kept, shapes
 
@@ -129,9 +129,9 @@ def selected_sql(table: str, id_: str, text: str, rules: tuple[Rule, ...] = BUIL
     """CTEs x(id, text) and sel(id, k, start, stop, rule, hit, before, v, rest, category, label): the selected matches of a table's texts."""
     each = []
     for k, r in enumerate(rules):
-        whole = _sql(r.regex)
+        whole = _sql(r.plain)
         if r.has_group:
-            flags, before, group, behind = (_sql(p) for p in r.parts)
+            flags, before, group, behind = (_sql(p) for p in cut_at_group(r.plain))
             own = f"regexp_extract_all(text, '{flags}({before})({group}){behind}', 1) AS befores, regexp_extract_all(text, '{flags}({before})({group}){behind}', 2) AS vs"
         else:
             own = f"NULL::VARCHAR[] AS befores, regexp_extract_all(text, '{whole}') AS vs"
