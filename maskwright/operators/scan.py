@@ -36,6 +36,17 @@ def _hinted(text: Column, low: Column, rule: Rule) -> Column:
     return reduce(lambda a, b: a | b, (text.rlike(h[6:]) if h.startswith("regex:") else F.contains(low, F.lit(h[6:])) if h.startswith("lower:") else F.contains(text, F.lit(h)) for h in rule.hints))
 
 
+def _gate(text: Column, low: Column, rules: Sequence[Rule]) -> Column:
+    """Whether the text can hold a hit of any rule, by what the rules' gates share."""
+    if not all(r.gate for r in rules):
+        return F.lit(True)
+    every = dict.fromkeys(g for r in rules for g in r.gate)
+    tests = [F.contains(low, F.lit(g[6:])) if g.startswith("lower:") else F.contains(text, F.lit(g)) for g in every if not g.startswith("regex:")]
+    if patterns := [g[6:] for g in every if g.startswith("regex:")]:
+        tests.append(text.rlike("|".join(patterns)))
+    return reduce(lambda a, b: a | b, tests)
+
+
 def _spans_by_python(rule: Rule):
     """Hits, befores and values of a rule whose group can't be cut out of its pattern."""
 
@@ -132,7 +143,7 @@ def find_matches(text: Column, rules: Sequence[Rule], longest: int = LONGEST) ->
     pick = lambda at, m: (F.when(m["start"] >= at, m["stop"]).otherwise(at), F.when(m["start"] >= at, F.array(m)).otherwise(none))
     chosen = lambda xs: F.when(F.size(xs) < 2, xs).otherwise(emit(F.array_sort(xs, order), F.lit(0), MATCH, pick))
     found = let(F.lower(text), every) if any(h.startswith("lower:") for r in rules for h in r.hints) else every(text)
-    return let(_bounded(text, found, longest), chosen)
+    return F.when(_gate(text, F.lower(text), rules), let(_bounded(text, found, longest), chosen)).otherwise(none)
 
 
 def with_matches(df: DataFrame, text: str, rules: Sequence[Rule], longest: int = LONGEST) -> DataFrame:
@@ -203,7 +214,7 @@ def counts(df: DataFrame, id_: str, text: str, rules: Sequence[Rule], longest: i
 def totals(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame:
     """pattern and matches: how often each rule's pattern stands in all texts, whatever other rules match there."""
     t, low = F.coalesce(F.col(text), F.lit("")), F.lower(F.coalesce(F.col(text), F.lit("")))
-    sums = df.agg(*(F.coalesce(F.sum(F.when(_hinted(t, low, r), F.regexp_count(t, F.lit(r.regex)))), F.lit(0)).cast("long").alias(str(k)) for k, r in enumerate(rules)))
+    sums = df.where(_gate(t, low, rules)).agg(*(F.coalesce(F.sum(F.when(_hinted(t, low, r), F.regexp_count(t, F.lit(r.regex)))), F.lit(0)).cast("long").alias(str(k)) for k, r in enumerate(rules)))
     pairs = F.arrays_zip(F.array(*(F.lit(r.label) for r in rules)).alias("pattern"), F.array(*(F.col(f"`{k}`") for k in range(len(rules)))).alias("matches"))
     return sums.select(F.inline(pairs))
 

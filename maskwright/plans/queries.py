@@ -19,7 +19,13 @@ TEXTS = {"documents": ("doc_id", "text"), "pages": ("page_id", "html"), "convers
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The table dealt to all cores where a few files' row groups would leave most of them idle; a table of many splits as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if "text" not in df.columns and "html" not in df.columns or len(df.inputFiles()) >= n else df.repartition(n)
 
 
 def query(name: str, sql: str):

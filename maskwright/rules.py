@@ -15,7 +15,9 @@ class Rule:
 
     hints are texts of which every hit holds one (``lower:`` ones in the
     lower-cased text, ``regex:`` ones as a pattern); rows without any are passed
-    over. Without hints, the pattern itself is sought first. fast is a pattern
+    over. Without hints, the pattern itself is sought first. gate are fewer and
+    cheaper ones, which many rules share: texts that hold none of all rules'
+    gates are not looked at further. fast is a pattern
     of Java that has the same matches in texts of any length without going back
     over long runs.
     """
@@ -28,6 +30,7 @@ class Rule:
     max_length: int | None = None
     hints: tuple[str, ...] = ()
     fast: str | None = None
+    gate: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if self.kind not in ("regex", "literal"):
@@ -125,6 +128,23 @@ HINTS = {
     "twilio_account_sid": ("regex:AC[a-f0-9]{8}",),
 }
 
+#: What texts with hits of the built-in rules hold: a sign, or a run of the signs that keys are made of.
+_RUN = "regex:[A-Za-z0-9_-]{17}"
+GATES = {
+    "email": ("@",),
+    "ipv4": (r"regex:[0-9]\.[0-9]",),
+    "ipv6_full": (":",),
+    "ipv6_compressed": (":",),
+    "credential_url": (":",),
+    "url": (":",),
+    "private_key_header": ("PRIVATE KEY-----",),
+    "secret_kv": ("_",),
+    "password_kv": ("lower:passw", "lower:pwd"),
+    "user_home_path": ("/",),
+    "image_digest": (":",),
+    "mac_address": (":", _RUN),
+}
+
 #: Patterns of Java with the same matches as the built-in ones: a match begins where a run of its first part's
 #: signs does (or where the last match ended), so runs that lead to none are read once.
 FAST = {
@@ -134,7 +154,7 @@ FAST = {
 
 #: The built-in rules in order of priority (fixed values: pattern, category, label).
 BUILT_IN = tuple(
-    Rule(*x, hints=HINTS[x[2]], fast=FAST.get(x[2]))
+    Rule(*x, hints=HINTS[x[2]], fast=FAST.get(x[2]), gate=GATES.get(x[2], (_RUN,)))
     for x in (
         (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "email", "email"),
         (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "ipv4", "ipv4"),
