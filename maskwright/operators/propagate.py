@@ -20,6 +20,8 @@ from .aliases import forms
 
 #: Shorter values (bytes) are not looked for elsewhere.
 LEAST = 4
+#: Bytes of all values together that may go to the executors.
+MAX_BYTES = 256 << 20
 FOUND = "struct<start:int,stop:int,category:string,value:string>"
 
 
@@ -54,16 +56,20 @@ def redact_known(df: DataFrame, text: str, dictionary: DataFrame, key: bytes = D
 
     With escaped, the forms in which formats write a value are replaced like
     the value. A null text gives the empty one. More than MAX_LITERALS values
-    (or forms) raise ValueError.
+    (or forms), or more than MAX_BYTES bytes of them, raise ValueError.
     """
     words = literals(dictionary).withColumn("form", F.col("original"))
     if escaped:
         every = words.withColumn("form", F.explode(F.concat(F.array("original"), forms(F.col("original")))))
         # a value's own row comes before one in which it is another's form
         words = every.groupBy("form").agg(F.min(F.struct((F.col("form") != F.col("original")).alias("other"), "original", "category")).alias("m")).select("form", "m.original", "m.category")
-    rows = words.limit(MAX_LITERALS + 1).collect()
-    if len(rows) > MAX_LITERALS:
-        raise ValueError(f"more than {MAX_LITERALS} literals")
+    words = words.persist()
+    n, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("form")), F.lit(0))).first()
+    if n > MAX_LITERALS or size > MAX_BYTES:
+        words.unpersist()
+        raise ValueError(f"{n} literals of {size} bytes; {MAX_LITERALS} of {MAX_BYTES} bytes are the bound")
+    rows = words.collect()
+    words.unpersist()
     known = df.sparkSession.sparkContext.broadcast({r["form"]: (r["category"], r["original"]) for r in rows})
     categories = sorted({r["category"] for r in rows})
 

@@ -25,8 +25,9 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(core.QUERIES))
 def test_query_equals_its_sql(spark, duck, name):
-    cols = sorted(entry.queries()[name](spark, SF).columns)
-    got = sorted(map(str, (tuple(r) for r in entry.queries()[name](spark, SF).select(*cols).collect())))
+    df = entry.queries()[name](spark, SF)
+    cols = sorted(df.columns)
+    got = sorted(map(str, (tuple(r) for r in df.select(*cols).collect())))
     want = sorted(map(str, duck.execute(f"select {', '.join(cols)} from ({entry.oracle_sql()[name]})").fetchall()))
     assert got == want
 
