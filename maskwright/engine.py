@@ -82,7 +82,8 @@ def run(spark: SparkSession, settings: Settings, key: bytes = DEMO_KEY) -> Run:
     plain, entries = _texts(spark, settings)
     both = plain.where("not binary").select("path", "text").unionByName(entries.where("taken and not binary").select("path", "text"))
     made = drawn_for([r.category for r in rules.rules], key) if settings.drawn_lengths and rules.rules else None
-    done = profiles.sanitize(both, "path", "text", rules.rules, apps, rules.entropy, key, allowed, made)
+    # both of the outputs' parts read it
+    done = profiles.sanitize(both, "path", "text", rules.rules, apps, rules.entropy, key, allowed, made).persist()
     counts = scan.counts(both, "path", "text", rules.rules)
     method = reduce(lambda c, p: F.when(p.takes(F.col("path")), F.lit(f"structured:{p.format}")).otherwise(c), reversed(apps), F.lit("scanner"))
     per_file = report.files(both, "path", "text", counts, method)

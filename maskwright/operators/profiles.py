@@ -55,14 +55,6 @@ def discover(df: DataFrame, path: str, text: str, profiles: Sequence[Profile]) -
     return reduce(DataFrame.union, parts).distinct()
 
 
-def _renumbered(made, rules: Sequence[Rule], which: Sequence[Rule]):
-    """made() for some of the rules, by their numbers among them."""
-    if made is None or len(which) == len(rules):
-        return made
-    numbers = F.array(*(F.lit(list(rules).index(r)) for r in which))
-    return lambda value, rule: made(value, F.element_at(numbers, rule + 1))
-
-
 def sanitize(df: DataFrame, path: str, text: str, rules: Sequence[Rule], profiles: Sequence[Profile] = (), tokens: Sequence[entropy.EntropyRule] = (), key: bytes = DEMO_KEY, allowed: Callable[[Column], Column] | None = None, made: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """path and sanitized of every input (null texts as empty ones; rows of equal paths stay apart).
 
@@ -82,8 +74,6 @@ def sanitize(df: DataFrame, path: str, text: str, rules: Sequence[Rule], profile
         known = propagate.redact_known(out, "text", discover(df, path, text, profiles), key, escaped=True)
         out = known.select("path", F.col("sanitized").alias("text"), "profile")
     if rules:
-        bare = [r for r in rules if not r.label.endswith("_kv")]
-        scanned = [out] if len(bare) == len(rules) or not profiles else [out.where("profile is null"), out.where("profile is not null")]
-        done = [scan.redact(part, "text", which, key, allowed, made=_renumbered(made, rules, which)) if which else part.withColumn("sanitized", F.coalesce("text", F.lit(""))) for part, which in zip(scanned, (rules, bare), strict=False)]
-        out = reduce(DataFrame.unionByName, [d.select("path", F.col("sanitized").alias("text"), "profile") for d in done])
+        unread = lambda r: F.col("profile").isNull() if profiles and r.label.endswith("_kv") else None
+        out = scan.redact(out, "text", rules, key, allowed, made=made, only=unread).select("path", F.col("sanitized").alias("text"), "profile")
     return entropy.redact_tokens(out, "text", tokens, key).select("path", "sanitized")

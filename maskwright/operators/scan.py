@@ -118,8 +118,11 @@ def _bounded(text: Column, found: Column, longest: int) -> Column:
     return F.when(F.octet_length(text) > longest, F.transform(found, one)).otherwise(found)
 
 
-def find_matches(text: Column, rules: Sequence[Rule], longest: int = LONGEST) -> Column:
-    """The selected matches of a text: by start, then length, then literals, then rule order; the first of overlapping ones."""
+def find_matches(text: Column, rules: Sequence[Rule], longest: int = LONGEST, only: Callable[[Rule], Column | None] | None = None) -> Column:
+    """The selected matches of a text: by start, then length, then literals, then rule order; the first of overlapping ones.
+
+    only(rule) may give a condition of the row without which the rule is left out.
+    """
     none = F.array().cast(f"array<{MATCH}>")
     if not rules:
         return none
@@ -134,11 +137,12 @@ def find_matches(text: Column, rules: Sequence[Rule], longest: int = LONGEST) ->
         return out
 
     nested = [k for k, r in enumerate(rules) if r.has_group and r.parts is None]
+    on = lambda r, c: c if only is None or (own := only(r)) is None else own & c
 
     def every(low: Column) -> Column:
-        each = [F.when(_hinted(text, low, r), _found(text, r, k)) for k, r in enumerate(rules) if k not in nested]
+        each = [F.when(on(r, _hinted(text, low, r)), _found(text, r, k)) for k, r in enumerate(rules) if k not in nested]
         out = F.flatten(F.transform(F.array_compact(F.array(*each)), _placed)) if each else none
-        return F.concat(out, *(F.coalesce(_nested(text, rules[k], k), none) for k in nested)) if nested else out
+        return F.concat(out, *(F.when(on(rules[k], F.lit(True)), F.coalesce(_nested(text, rules[k], k), none)).otherwise(none) for k in nested)) if nested else out
 
     pick = lambda at, m: (F.when(m["start"] >= at, m["stop"]).otherwise(at), F.when(m["start"] >= at, F.array(m)).otherwise(none))
     chosen = lambda xs: F.when(F.size(xs) < 2, xs).otherwise(emit(F.array_sort(xs, order), F.lit(0), MATCH, pick))
@@ -146,9 +150,9 @@ def find_matches(text: Column, rules: Sequence[Rule], longest: int = LONGEST) ->
     return F.when(_gate(text, F.lower(text), rules), let(_bounded(text, found, longest), chosen)).otherwise(none)
 
 
-def with_matches(df: DataFrame, text: str, rules: Sequence[Rule], longest: int = LONGEST) -> DataFrame:
+def with_matches(df: DataFrame, text: str, rules: Sequence[Rule], longest: int = LONGEST, only: Callable[[Rule], Column | None] | None = None) -> DataFrame:
     """df with its selected matches; a null text has none."""
-    return df.withColumn("matches", find_matches(F.coalesce(F.col(text), F.lit("")), rules, longest))
+    return df.withColumn("matches", find_matches(F.coalesce(F.col(text), F.lit("")), rules, longest, only))
 
 
 def labels_of(rules: Sequence[Rule], rule: Column) -> Column:
@@ -156,7 +160,7 @@ def labels_of(rules: Sequence[Rule], rule: Column) -> Column:
     return F.when(rule == _OVERLONG, F.lit(OVERLONG_LABEL)).otherwise(F.element_at(F.array(*(F.lit(r.label) for r in rules)), F.greatest(rule, F.lit(0)) + 1))
 
 
-def redact(df: DataFrame, text: str, rules: Sequence[Rule], key: bytes = DEMO_KEY, allowed: Callable[[Column], Column] | None = None, longest: int = LONGEST, made: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def redact(df: DataFrame, text: str, rules: Sequence[Rule], key: bytes = DEMO_KEY, allowed: Callable[[Column], Column] | None = None, longest: int = LONGEST, made: Callable[[Column, Column], Column] | None = None, only: Callable[[Rule], Column | None] | None = None) -> DataFrame:
     """df with sanitized beside matches: each match's value (its first group, if the rule has one) is replaced.
 
     allowed is a function of a value's Column that tells which values stay
@@ -175,7 +179,7 @@ def redact(df: DataFrame, text: str, rules: Sequence[Rule], key: bytes = DEMO_KE
         return F.concat(m["before"], out.otherwise(put), rest)
 
     t = F.coalesce(F.col(text), F.lit(""))
-    found = with_matches(df, text, rules, longest)
+    found = with_matches(df, text, rules, longest, only)
     return found.withColumn("sanitized", splice(t, F.col("matches"), "start", "stop", new) if rules else t)
 
 

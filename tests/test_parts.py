@@ -123,7 +123,7 @@ def test_whole_run(spark, tmp_path, capsys):
     with zipfile.ZipFile(tmp_path / "in" / "a.zip", "w") as z:
         z.writestr("one.txt", "mail jo@corp.example")
         z.writestr("two.md", "mail jo@corp.example")
-    settings = config.Settings(inputs=(str(tmp_path / "in"),), apps=("redis",), filters={"a.zip": (("*.txt",), ())})
+    settings = config.Settings(inputs=(str(tmp_path / "in"),), apps=("redis",), preset="web", filters={"a.zip": (("*.txt",), ())})
     done = engine.run(spark, settings, key=bytes(32))
     out = {r.path.rsplit("/", 1)[-1]: (r.output.rsplit("/", 1)[-1], bytes(r.content)) for r in done.outputs.collect()}
     assert set(out) == {"redis.conf", "app.log", "blob.bin", "a.zip"} and out["blob.bin"][1] == b"\x00\x01jo@corp.example" and out["a.zip"][0] == "a.sanitized.zip"
