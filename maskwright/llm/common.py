@@ -7,9 +7,13 @@ depends on the longest document and not on the size of a batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
+import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that a worker handles at once.
 SLICE = 1 << 20
 #: Rows and bytes of an Arrow batch sent to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Rows of a side that may be broadcast, where each row is one or two longs.
 BROADCAST_ROWS = 1_000_000
 
@@ -40,32 +44,54 @@ def prepare(spark: SparkSession) -> SparkSession:
     except Exception as e:  # noqa: BLE001  a Spark without the setting keeps the bound on rows
         if "CONF" not in str(e):
             raise
+    # the driver keeps the plan of every query as text, and again at each step of an adaptive plan
+    spark.conf.set("spark.sql.ui.explainMode", "simple")
+    spark.conf.set("spark.sql.maxPlanStringLength", "20000")
     shared_dir(spark)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir; a temporary one of our own only where that is unset and Spark runs in one process."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return named or sc.getCheckpointDir()
 
 
 def release(spark: SparkSession) -> None:
-    """Asks for a garbage collection, upon which Spark deletes the shuffles and checkpoints that nothing refers to any more.
+    """Asks for garbage collections, upon which Spark deletes the shuffles and checkpoints that nothing refers to any more.
 
-    Without it they stay on disk until the driver's heap happens to fill up.
+    Without them they stay on disk until the driver's heap happens to fill up;
+    Spark has no call that deletes a query's shuffles by name. What a query has
+    just left is let go by the second one.
     """
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.java.lang.System.gc()
+        time.sleep(0.2)
+
+
+def file_system(uri: str):
+    """The file system of a URI or path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, uri: str) -> None:
+    """Deletes a scratch folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -107,6 +133,25 @@ def slices(off: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def _trim() -> None:
+    """Gives memory that was freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """A function for mapInArrow that leaves its worker, which goes on to other tasks, without the memory it has freed."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return tidied
+
+
 def text_slices(col: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, off = text_buffers(col)
     for i, j in slices(off, size):
@@ -250,7 +295,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = large.where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
         e = small.where("a <> b").distinct().checkpoint()

@@ -180,3 +180,75 @@ def test_quality(spark):
     assert len(got) == 202 and all(0 <= r.score <= 1 for r in got.values())
     assert sum(got[i].predicted == int(i % 3 > 0) for i in range(200) if got[i].held_out) >= 0.95 * sum(got[i].held_out for i in range(200))
     assert quality.classify(docs_of(spark, rows), labels.limit(0)).first().score == 0.5
+
+
+def components_by_hand(rows, n, num):
+    """(sets by row, find): documents are ids, any text of one may link it."""
+    sets, root = [], {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set())
+        root[i] = i
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and 100 * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(rows[a][0]), find(rows[b][0])))
+                root[y] = x
+    return sets, find
+
+
+def test_jaccard_repeated_ids_and_hot_tokens(spark, monkeypatch):
+    w = "a b c d e f g h i j k l m n o p q r s t u v w x y z aa bb cc dd ee ff".split()
+    one, two = " ".join(w), " ".join(x * 2 for x in w)
+    rows = [(1, one), (1, two), (2, one + " end"), (3, two + " end"), (9, two + " fin"), (9, "other text of nine that has words enough for a set of its own"), (10, "other text of nine that has words enough for a set of its own")]
+    # one phrase that many texts share, and near copies whose lists are dealt to parts
+    rng = np.random.default_rng(3)
+    base = [str(x) for x in rng.integers(0, 10**6, 60)]
+    for k in range(60):
+        t = list(base)
+        t[int(rng.integers(0, 60))] = f"x{k}"
+        rows.append((100 + k, " ".join(t)))
+    rows += [(300 + k, "the shared phrase stands here " + " ".join(str(x) for x in rng.integers(0, 10**6, 30))) for k in range(40)]
+    sets, find = components_by_hand(rows, 3, 90)
+    monkeypatch.setattr(jaccard, "LIST", 7)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, rows), n=3, num=90).collect())
+    assert got == sorted((i, len(s), find(i)) for (i, _), s in zip(rows, sets, strict=True))
+    assert find(3) == 1 and find(10) == 1
+
+
+def test_keep_one_of_repeated_and_null_ids(spark):
+    t = "one two three four five six seven eight nine ten"
+    rows = [(5, t), (5, t), (7, t), (None, t), (None, "alone here with words enough to be a set"), (None, "alone here with words enough to be a set"), (8, ""), (8, ""), (None, None), (11, "b " + t + " c d e f g h"), (11, "a text of its own that shares nothing with any")]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in jaccard.keep_one(docs_of(spark, rows)).collect())
+    want = [(5, t), (8, ""), (8, ""), (11, "a text of its own that shares nothing with any"), (None, None), (None, "alone here with words enough to be a set")]
+    assert got == sorted((i is None, i or 0, x or "") for i, x in want)
+    assert jaccard.keep_one(docs_of(spark, [])).count() == 0
+
+
+def test_bounds_are_optimal():
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        lengths = np.unique(rng.integers(0, 200, rng.integers(1, 30)))
+        counts, k = rng.integers(1, 50, len(lengths)), int(rng.integers(1, 8))
+        cost = {(0, 0): 0}
+        for j in range(1, len(lengths) + 1):
+            for b in range(1, min(j, k) + 1):
+                cost[b, j] = min(cost[b - 1, i] + int(counts[i:j].sum()) * int(lengths[j - 1]) for i in range(j) if (b - 1, i) in cost)
+        least = min(v for (b, j), v in cost.items() if j == len(lengths))
+        bounds = packing.optimal_bounds(lengths, counts, k)
+        assert len(bounds) <= k and bounds[-1] == lengths[-1] and set(bounds) <= set(lengths.tolist())
+        assert sum(int(c) * next(b for b in bounds if b >= x) for x, c in zip(lengths, counts, strict=True)) == least
+
+
+def test_packing_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c")] * 30 + [(7, "d e")] * 30 + [(8, None), (9, "")]
+    got = packing.pack(docs_of(spark, rows), buckets=2, budget=12).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == sorted((i or 0, len((t or "").split())) for i, t in rows)
+    assert len({(r.batch_id, r.slot) for r in got}) == len(rows) and packing.optimal_bounds(np.array([2, 3]), np.array([30, 30]), 1) == [3]
