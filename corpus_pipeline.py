@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import decontam, jaccard, packing, quality, secrets
-from maskwright.llm.common import scratch_path, table
+from maskwright.llm.common import drop_path, scratch_path, table
 from maskwright.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -72,10 +72,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is written as Parquet and read again as the next one's docs."""
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(path := scratch_path(spark, name))
-            docs = spark.read.parquet(path)
+            if read is not None:  # the stage before has been read for the last time
+                drop_path(spark, read)
+            docs, read = spark.read.parquet(path), path
     return docs

@@ -6,9 +6,10 @@ doubling, its Burrows-Wheeler transform in a wavelet matrix, and every
 ``SAMPLE``-th text position kept. All benchmark windows are found by backward
 search at once; occurrences are located by walking to sampled positions; the
 covered words of a document merge into removal spans. Documents are read once
-and never shuffled. The benchmark goes to the workers in blocks of at most
-``BLOCK_BYTES`` of text; a larger benchmark takes more passes, each adding to
-what the ones before it found.
+and never shuffled. The benchmark is cut into blocks of about ``BLOCK_BYTES``
+of text. A single block goes along with the task; more of them are written to
+the shared folder one after the other, and a worker reads them one at a time
+for each shard, whose index it builds once.
 
 Defined cases: a null text or one without words has no words, hits or items. A
 benchmark item without words (or with a null item_id) has no window. An item
@@ -20,16 +21,18 @@ rows without hits. Extra columns of documents are dropped or, with ``keep``, pas
 
 from __future__ import annotations
 
+import itertools
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, prepare, text_buffers, text_slices
+from .common import ALNUM, Words, file_system, prepare, scratch_path, text_buffers, text_slices, tidy
 
 WINDOW = 8
 #: Words of a shard; a longer document is a shard of its own.
@@ -196,78 +199,79 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _search_shard(parts: list[tuple], p: Phrases) -> list[dict]:
-    """For each document of the parts: its hit word runs, their character spans, and its items."""
-    words = pa.chunked_array([w.array() for w in parts]).combine_chunks() if parts else pa.array([], pa.binary())
-    if isinstance(words, pa.ChunkedArray):
-        words = words.chunk(0)
-    counts = np.concatenate([np.diff(w.doc) for w in parts])
-    coded = words.dictionary_encode()
-    known = pc.index_in(p.vocabulary, value_set=coded.dictionary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    phrase = np.where(p.windows >= 0, known[p.windows] + 2, -1)
-    usable = np.flatnonzero(((phrase != 1) | (p.windows < 0)).all(axis=1))
-    n = int(counts.sum())
-    first = np.zeros(len(counts) + 1, np.int64)
-    np.cumsum(counts, out=first[1:])
-    hits = np.zeros(n + 1, np.int64)
-    pairs = np.zeros((0, 2), np.int64)
-    if n and len(usable):
-        doc = np.repeat(np.arange(len(counts)), counts)
-        seq = np.ones(n + len(counts), np.int64)  # 1 stands between documents
-        seq[np.arange(n) + doc] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 2
-        index = FMIndex(seq)
+class Shard:
+    """The FM-index over the words of some documents."""
+
+    def __init__(self, parts: list[Words]):
+        words = pa.chunked_array([w.array() for w in parts]).combine_chunks() if parts else pa.array([], pa.binary())
+        if isinstance(words, pa.ChunkedArray):
+            words = words.chunk(0)
+        coded = words.dictionary_encode()
+        self.dictionary = coded.dictionary
+        self.counts = np.concatenate([np.diff(w.doc) for w in parts])
+        self.n = int(self.counts.sum())
+        self.first = np.zeros(len(self.counts) + 1, np.int64)
+        np.cumsum(self.counts, out=self.first[1:])
+        self.hits, self.items = np.zeros(self.n + 1, np.int64), [set() for _ in self.counts]
+        self.index, self._codes = None, coded.indices
+
+    def _built(self) -> FMIndex:
+        if self.index is None:
+            doc = np.repeat(np.arange(len(self.counts)), self.counts)
+            seq = np.ones(self.n + len(self.counts), np.int64)  # 1 stands between documents
+            seq[np.arange(self.n) + doc] = self._codes.to_numpy(zero_copy_only=False).astype(np.int64) + 2
+            self.index = FMIndex(seq)
+        return self.index
+
+    def search(self, p: Phrases) -> None:
+        """Adds the hit words and items of one block of the benchmark."""
+        known = pc.index_in(p.vocabulary, value_set=self.dictionary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        phrase = np.where(p.windows >= 0, known[p.windows] + 2, -1)
+        usable = np.flatnonzero(((phrase != 1) | (p.windows < 0)).all(axis=1))
+        if not self.n or not len(usable):
+            return
+        index = self._built()
         lo, hi = index.search(phrase[usable])
         size = np.maximum(hi - lo, 0)
+        if not size.any():
+            return
         window = np.repeat(usable, size)
         rows = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
         at = index.locate(rows)
-        in_doc = np.searchsorted(first[1:] + np.arange(1, len(counts) + 1), at, side="right")
+        in_doc = np.searchsorted(self.first[1:] + np.arange(1, len(self.counts) + 1), at, side="right")
         word = at - in_doc
-        np.add.at(hits, word, 1)
-        np.add.at(hits, word + p.lengths[window], -1)
-        seen = np.unique(np.stack((in_doc, window), axis=1), axis=0) if len(at) else pairs
+        np.add.at(self.hits, word, 1)
+        np.add.at(self.hits, word + p.lengths[window], -1)
+        seen = np.unique(np.stack((in_doc, window), axis=1), axis=0)
         width = p.item_at[seen[:, 1] + 1] - p.item_at[seen[:, 1]]
         item = p.items[np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width) + np.repeat(p.item_at[seen[:, 1]], width)]
-        pairs = np.unique(np.stack((np.repeat(seen[:, 0], width), item), axis=1), axis=0)
-    hit = np.cumsum(hits[:-1]) > 0
-    item_at = np.searchsorted(pairs[:, 0], np.arange(len(counts) + 1))
-    out, k = [], 0
-    for w in parts:
-        for _ in range(len(w.doc) - 1):
-            a, b = first[k], first[k + 1]
-            x = {"n_words": int(b - a), "items": [], "runs": []}
-            if item_at[k + 1] > item_at[k]:
-                x["items"] = p.names[pairs[item_at[k] : item_at[k + 1], 1]].tolist()
-                s, e = _runs(hit[a:b])
-                x["runs"] = list(zip(s.tolist(), e.tolist(), strict=True))
-            out.append(x)
-            k += 1
-    return out
-
-
-def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+        for k, name in np.unique(np.stack((np.repeat(seen[:, 0], width), item), axis=1), axis=0).tolist():
+            self.items[k].add(str(p.names[name]))
+
+    def found(self) -> list[dict]:
+        """For each document its words, its items and its hit word runs."""
+        hit, out = np.cumsum(self.hits[:-1]) > 0, []
+        for k, items in enumerate(self.items):
+            a, b = self.first[k], self.first[k + 1]
+            runs = list(zip(*(x.tolist() for x in _runs(hit[a:b])), strict=True)) if items else []
+            out.append({"n_words": int(b - a), "items": sorted(items), "runs": runs})
+        return out
 
 
-def _scan(p: Phrases, schema: pa.Schema, text_col: str):
+def _scan(blocks_of, schema: pa.Schema, text_col: str):
+    """blocks_of() gives the benchmark's blocks, one after the other."""
+
     def flush(held: list[pa.RecordBatch], parts: list[Words]) -> pa.RecordBatch:
-        found = _search_shard(parts, p)
+        shard = Shard(parts)
+        for p in blocks_of():
+            shard.search(p)
+        found = shard.found()
         rows = pa.Table.from_batches(held).combine_chunks()
-        old = rows.select(["items", "runs"]).to_pylist() if "items" in rows.column_names else None
         spans, k = [], 0
         for w in parts:
             char = None
             for d in range(len(w.doc) - 1):
                 x = found[k]
-                if old:
-                    x["items"] = sorted({*x["items"], *(old[k]["items"] or ())})
-                    x["runs"] = _merge(x["runs"] + [(r["first"], r["last"]) for r in old[k]["runs"] or ()])
                 if x["runs"]:
                     if char is None:
                         char = np.concatenate(([0], np.cumsum((w.data & 0xC0) != 0x80)))
@@ -310,7 +314,7 @@ def _arrow(kind) -> pa.Schema:
 
 
 def blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Phrases]:
-    """The benchmark in parts of about block_bytes of text, each collected when its pass is planned."""
+    """The benchmark in parts of about block_bytes of text, one at a time."""
     size = benchmark.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-size // block_bytes))
     for k in range(n):
@@ -318,6 +322,29 @@ def blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Phra
         yield Phrases(part.column(0).to_pylist(), part.column(1).to_pylist(), window)
 
 
+def _shipped(spark: SparkSession, parts: Iterator[Phrases]):
+    """A function that gives the blocks in a worker: the only one itself, several from files in the shared folder."""
+    first = next(parts)
+    second = next(parts, None)
+    if second is None:
+        return lambda: iter((first,))
+    uris, root = [], scratch_path(spark, "benchmark")
+    for k, p in enumerate(itertools.chain((first, second), parts)):
+        fs, path = file_system(root)
+        fs.create_dir(path, recursive=True)
+        with fs.open_output_stream(f"{path}/{k}") as out:
+            out.write(pickle.dumps(p))
+        uris.append(f"{root}/{k}")
+
+    def read() -> Iterator[Phrases]:
+        for uri in uris:
+            fs, path = file_system(uri)
+            with fs.open_input_stream(path) as f:
+                yield pickle.loads(f.read())
+
+    return read
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_items: int = 2, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document: keep, n_words, n_hit, n_items, items, runs, spans, contaminated.
 
@@ -326,13 +353,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     exclusive. A document with min_items items or more is contaminated.
     """
     prepare(docs.sparkSession)
-    out = docs.select(*dict.fromkeys([*keep, text_col]))
-    base = out.schema
-    plan = list(blocks(benchmark, window, block_bytes))
-    for k, p in enumerate(plan):
-        fields = [f for f in base if f.name in keep or f.name == text_col and k + 1 < len(plan)]
-        schema = T.StructType([*fields, *T.StructType.fromDDL(RESULT)])
-        out = out.mapInArrow(_scan(p, _arrow(schema), text_col), schema)
+    src = docs.select(*dict.fromkeys([*keep, text_col]))
+    schema = T.StructType([*(f for f in src.schema if f.name in keep), *T.StructType.fromDDL(RESULT)])
+    shipped = _shipped(docs.sparkSession, blocks(benchmark, window, block_bytes))
+    out = src.mapInArrow(tidy(_scan(shipped, _arrow(schema), text_col)), schema)
     n = F.size("items")
     return out.select(*keep, "n_words", "n_hit", n.cast("long").alias("n_items"), "items", "runs", "spans", (n >= min_items).alias("contaminated"))
 

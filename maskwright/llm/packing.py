@@ -1,23 +1,23 @@
 """Packing into optimal length buckets and token-budget batches.
 
-The lengths of all documents form one histogram with a bounded number of bars:
-lengths are rounded up to a multiple of ``STEP``, and beyond ``STEP * LINEAR``
-to one of ``PER_OCTAVE`` steps in each doubling. A bar stands for the greatest
-length in it. Dynamic programming over the bars chooses the bucket bounds that
-leave the least padding over the corpus. Lengths are those of ``length``, such
-as the ids that ``with_ids`` counts; without it they are white-space words.
-In a bucket every batch holds as many documents as fit the token budget at the
-bucket's bound, one at least.
-
-Batches are numbered without gathering a bucket in one task: documents are
-dealt to blocks by a hash of doc_id, ranked in their (bucket, block), and the
+The lengths of all documents form one exact histogram, a row for each distinct
+length. Dynamic programming over it chooses the bucket bounds, which are
+lengths that occur, that leave the least padding over the corpus; as the cost
+of a bucket is a line in its bound, each round keeps the lower hull of the
+lines and takes time in proportion to the distinct lengths. Lengths are those
+of ``length``, such as the ids that ``with_ids`` counts; without it they are
+white-space words. In a bucket every batch holds as many documents as fit the
+token budget at the bucket's bound, one at least.
+
+Batches are numbered without gathering a bucket in one task: rows are dealt to
+blocks evenly, whatever their ids, ranked in their (bucket, block), and the
 block counts give each block its first place in the bucket.
 
 Defined cases: a null or empty text, or a null length, has length 0 and goes to
-the first bucket, which pads it to that bound. Ties are ordered by doc_id, then
-length; repeated rows each take a place. A document longer than the budget has
-a batch of its own. An empty table gives an empty result. Columns named in
-``keep`` are passed on.
+the first bucket, which pads it to that bound. Rows of a block are ordered by
+doc_id, then length; repeated rows and null ids each take a place of their own.
+A document longer than the budget has a batch of its own. An empty table gives
+an empty result. Columns named in ``keep`` are passed on.
 """
 
 from __future__ import annotations
@@ -28,14 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
 from pyspark.sql import types as T
 
-from .common import prepare, text_slices
+from .common import prepare, text_slices, tidy
 from .token_files import encoder
 
 BUCKETS, BUDGET = 12, 16_384
-STEP, LINEAR, PER_OCTAVE = 8, 256, 32
 BLOCK_ROWS = 50_000
 
 
@@ -57,63 +55,67 @@ def with_ids(docs: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",),
             yield pa.record_batch([*batch.columns[: len(keep)], pa.array(n)], names=[*keep, "n_ids"])
 
     src = docs.select(*keep, F.col(text_col).alias("__text"))
-    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("n_ids", T.LongType())]))
-
-
-def rounded(length: Column) -> Column:
-    """The bar of a length."""
-    top = STEP * LINEAR
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(top)).cast("double") - 1)) - int(np.log2(PER_OCTAVE)))
-    wide = F.ceil(length / step) * step
-    return F.greatest(F.lit(STEP), F.when(length <= top, F.ceil(length / STEP) * STEP).otherwise(wide)).cast("long")
+    return src.mapInArrow(tidy(run), T.StructType([*src.schema.fields[:-1], T.StructField("n_ids", T.LongType())]))
 
 
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[int]:
-    """At most k bounds out of sorted lengths, the last one included, with the least total padding."""
+    """At most k bounds out of sorted distinct lengths, the last one included, with the least total of length times count."""
     n = len(lengths)
     if n == 0:
         return []
-    total = np.concatenate(([0], np.cumsum(counts.astype(np.float64))))
-    best, back = total[1:] * lengths, []
+    size = [int(x) for x in lengths]
+    total = [0]
+    for c in counts:
+        total.append(total[-1] + int(c))
+    best = [total[j + 1] * size[j] for j in range(n)]  # of the first j + 1 lengths, in one bucket
+    back: list[list[int]] = []
     for _ in range(min(k, n) - 1):
-        # with one bucket more: bars i + 1 .. j in a last bucket of bound lengths[j]
-        cost = best[:, None] + (total[None, 1:] - total[1:, None]) * lengths[None, :]
-        cost[np.tril_indices(n)] = np.inf
-        at = cost.argmin(axis=0)
-        new = cost[at, np.arange(n)]
-        use = new < best
-        back.append(np.where(use, at, -1))
-        best = np.where(use, new, best)
+        new, of = list(best), [-1] * n
+        hull: list[tuple[int, int, int]] = []  # lines (slope, height, index), of falling slopes
+        at = 0
+        for j in range(1, n):
+            # with the lengths up to j - 1 in the buckets before: best[j - 1] + size[j] * (total[j + 1] - total[j])
+            m, h = -total[j], best[j - 1]
+            while len(hull) >= 2 and (h - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - m):
+                hull.pop()
+            hull.append((m, h, j - 1))
+            at = min(at, len(hull) - 1)
+            value = lambda q, x=size[j]: q[0] * x + q[1]
+            while at + 1 < len(hull) and value(hull[at + 1]) <= value(hull[at]):
+                at += 1
+            cost = value(hull[at]) + size[j] * total[j + 1]
+            if cost < new[j]:
+                new[j], of[j] = cost, hull[at][2]
+        back.append(of)
+        best = new
     out, j = [], n - 1
-    for at in reversed(back):
-        if at[j] >= 0:
-            out.append(int(lengths[j]))
-            j = int(at[j])
-    return sorted({*out, int(lengths[j])})
+    for of in reversed(back):
+        if of[j] >= 0:
+            out.append(size[j])
+            j = of[j]
+    return sorted({*out, size[j]})
 
 
 def bucket_bounds(lengths: DataFrame, k: int) -> list[int]:
-    """The bounds for a table with columns n_tokens and bar; its distinct bars are at most LINEAR + 32 for each doubling beyond."""
-    rows = lengths.groupBy("bar").agg(F.count("*").alias("count"), F.max("n_tokens").alias("top")).collect()
-    rows.sort(key=lambda r: r["bar"])
-    return optimal_bounds(np.array([r["top"] for r in rows], np.float64), np.array([r["count"] for r in rows]), k)
+    """The bounds for a table with column n_tokens; its histogram, a row for each distinct length, comes to the driver."""
+    rows = lengths.groupBy("n_tokens").agg(F.count("*").alias("count")).toArrow().sort_by("n_tokens")
+    return optimal_bounds(rows.column("n_tokens").to_numpy(), rows.column("count").to_numpy(), k)
 
 
 def pack(docs: DataFrame, *, length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, n_tokens, bucket (from 0), bucket_len, batch (from 0 in each bucket), slot (from 0) and batch_id for every document."""
     prepare(docs.sparkSession)
     sized = docs.select(*keep, F.coalesce(length if length is not None else n_words(), F.lit(0)).cast("long").alias("n_tokens"))
-    sized = sized.withColumn("bar", rounded(F.col("n_tokens"))).checkpoint()
-    bounds = bucket_bounds(sized, buckets)
-    if not bounds:
-        bounds = [STEP]
+    # the checkpoint fixes the rows' numbers, by which hot and null ids are dealt evenly, too
+    sized = sized.withColumn("__row", F.monotonically_increasing_id()).checkpoint()
+    bounds = bucket_bounds(sized, buckets) or [0]
     each = F.array(*(F.lit(b) for b in bounds))
     bucket = sum((F.col("n_tokens") > b).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
     n = max(1, -(-sized.count() // BLOCK_ROWS))
-    placed = sized.withColumn("bucket", bucket).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+    placed = sized.withColumn("bucket", bucket).withColumn("block", F.pmod(F.xxhash64("__row"), F.lit(n)))
     counts = placed.groupBy("bucket", "block").count()  # at most buckets * n rows
     first = counts.select("bucket", "block", (F.sum("count").over(Window.partitionBy("bucket").orderBy("block")) - F.col("count")).alias("first"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "block").orderBy("doc_id", "n_tokens"))
+    rank = F.row_number().over(Window.partitionBy("bucket", "block").orderBy("doc_id", "n_tokens", "__row"))
     out = placed.withColumn("rank", rank).join(F.broadcast(first) if n * len(bounds) <= 1_000_000 else first, ["bucket", "block"])
     place = F.col("first") + F.col("rank") - 1
     bound = F.element_at(each, F.col("bucket") + 1)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, PrefixHash, prepare, text_slices
+from .common import U64, PrefixHash, prepare, text_slices, tidy
 
 BITS, DIM, WINDOW, NONZERO = 14, 32, 2, 4
 WORDS = 1 << BITS
@@ -121,7 +121,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """The unit context vector of every bucket, over all documents: 2 MB."""
     total = np.zeros((PARTS, WORDS * DIM // PARTS), np.int64)
-    for r in docs.select(text_col).mapInArrow(_contexts, "part int, sums binary").groupBy("part").applyInArrow(_add, "part int, sums binary").collect():
+    for r in docs.select(text_col).mapInArrow(tidy(_contexts), "part int, sums binary").groupBy("part").applyInArrow(_add, "part int, sums binary").collect():
         total[r["part"]] = np.frombuffer(r["sums"], np.int64)
     v = total.reshape(WORDS, DIM).astype(np.float64)
     return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1)).astype(np.float32)
@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE):
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     kind = T.StructType.fromDDL("doc_id long, quality int, features array<float>")
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    got = found.mapInArrow(_features(vectors, to_arrow_schema(kind)), kind).toArrow().combine_chunks().sort_by([("doc_id", "ascending")])
+    got = found.mapInArrow(tidy(_features(vectors, to_arrow_schema(kind))), kind).toArrow().combine_chunks().sort_by([("doc_id", "ascending")])
     y = got.column("quality").to_numpy()
     x = got.column("features").combine_chunks().flatten().to_numpy().reshape(len(y), FEATURES) if len(y) else np.zeros((0, FEATURES), np.float32)
     return vectors, Network().fit(x, y)
@@ -255,7 +255,7 @@ def score(docs: DataFrame, vectors, network: Network, *, keep: tuple[str, ...] =
 
     src = docs.select(*dict.fromkeys([*keep, text_col]))
     out = T.StructType([*(f for f in src.schema if f.name in keep), T.StructField("score", T.DoubleType())])
-    scored = src.mapInArrow(_scores(vectors, network, to_arrow_schema(out), text_col), out)
+    scored = src.mapInArrow(tidy(_scores(vectors, network, to_arrow_schema(out), text_col)), out)
     return scored.select(*keep, held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -1,8 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 The whole text is scanned for three kinds of secrets. Then encoded segments
-(URL escapes, Unicode escapes and character references, base64, gzip and zlib
-streams) are unwrapped; each layer goes on a worklist, is scanned itself and
+(URL escapes, Unicode escapes and character references, two-byte characters,
+base64, gzip and zlib streams) are unwrapped; each layer goes on a worklist, is scanned itself and
 searched for further encoded segments, until nothing new appears. A layer whose
 content was seen before at the same place of the document is not opened again,
 so encodings that reproduce themselves end. Every decoded character knows the range of the
@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, prepare, text_slices
+from .common import LOWER, prepare, text_slices, tidy
 
 KINDS = ("assign", "access", "hex")
 #: Fixed patterns; letters of assign's first group stand in either case.
@@ -57,6 +57,8 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % B64_LEAST)
 #: Runs that go on after line feeds.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t\r]*+\n[\x20\t\r\n]*+[A-Za-z0-9+/_-]++)+={0,2}")
 _PARTS = re.compile(r"[+/_-]")
+#: ASCII as two-byte characters, of either byte order, as long as the shortest secret.
+WIDE = re.compile(r"(?:[\t\n\r\x20-\x7e]\x00){14,}|(?:\x00[\t\n\r\x20-\x7e]){14,}")
 _GZIP = re.compile(rb"\x1f\x8b\x08")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 #: Bytes that a stream is unpacked by, that are scanned at once, and that are kept in memory of a stream inside a stream.
@@ -159,6 +161,14 @@ def _from_escapes(layer: Layer) -> Iterator[Layer]:
         yield layer.derive("".join(out) + layer.text[at:], lo, hi, "unicode/")
 
 
+def _from_wide(layer: Layer) -> Iterator[Layer]:
+    """Runs of two-byte characters without their zero bytes."""
+    if "\x00" in layer.text:
+        for m in WIDE.finditer(layer.text):
+            lo = np.arange(m.start(), m.end(), 2)
+            yield layer.derive(m[0].replace("\x00", ""), lo, lo + 2, "wide/")
+
+
 def _bits(raw: bytes) -> int:
     """zlib's window bits for the stream that raw begins with, 0 if it is none."""
     return 31 if raw[:2] == b"\x1f\x8b" else 15 if len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0 else 0
@@ -314,7 +324,7 @@ def scan(text: str) -> tuple[list[tuple], list[tuple], int, int]:
     known: dict[str, list] = {}
 
     def inside(layer: Layer) -> Iterator[Layer]:
-        return itertools.chain(_from_url(layer), _from_base64(layer, broken), _from_escapes(layer))
+        return itertools.chain(_from_url(layer), _from_base64(layer, broken), _from_escapes(layer), _from_wide(layer))
 
     work = [inside(Layer(text))]  # one layer of each depth is held at a time
     while work:
@@ -440,7 +450,7 @@ def scan_secrets(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text_c
     cols = list(dict.fromkeys([*keep, text_col]))
     src = docs.select(*cols)
     out = T.StructType([*(f for f in src.schema if f.name in keep), *T.StructType.fromDDL(RESULT)])
-    return src.mapInArrow(_run(to_arrow_schema(out), text_col, mask), out)
+    return src.mapInArrow(tidy(_run(to_arrow_schema(out), text_col, mask)), out)
 
 
 def joined(spans: Column) -> Column:

@@ -23,7 +23,8 @@ pre-tokenizer cuts a text at white space and between ASCII letters, digits and
 symbols, and encodes the pieces alone; so distinct pieces are encoded once by
 the tokenizer and reused from a bounded cache. Pieces whose cuts could depend
 on more than that (apostrophes, special-token marks, letters beyond Latin-1)
-stay whole between spaces and line feeds.
+stay whole between spaces and line feeds. A tokenizer file with other rules than
+these is not cut up: it encodes whole texts.
 
 Defined cases: a null text is empty and has the end id alone; null doc_ids come
 first; ties in doc_id are ordered by text; repeated rows give repeated records.
@@ -42,12 +43,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, prepare, scratch_path, text_slices
+from .common import Words, file_system, prepare, scratch_path, text_slices
 
 END_ID = 1
 FILE_BYTES = 24 << 20
 #: Pieces kept by a worker between batches.
-CACHE = 300_000
+CACHE = 200_000
+#: New pieces encoded together, which bounds what the tokenizer holds at once.
+NEW = 8192
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _META = struct.Struct("<qB")
@@ -61,10 +64,25 @@ _KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0x80:] = 1
 _KIND[0x30:0x3A] = 2
 
 
+#: How a tokenizer file normalises and cuts texts for which pieces may be encoded alone (fixed values).
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def cuts_as_known(spec: dict) -> bool:
+    """Whether a tokenizer file has the rules that PieceEncoder's cuts rest on."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    plain = spec.get("truncation") is None and spec.get("padding") is None and not spec.get("post_processor")
+    byte_level = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex", True)
+    marks = all(t["content"].startswith("<|") for t in spec.get("added_tokens") or [])
+    return plain and marks and spec.get("normalizer") == _NORMALIZER and byte_level and steps[0] == _SPLIT
+
+
 class PieceEncoder:
-    """Encodes slices of documents with a tokenizer whose pre-tokenizer cuts as the module says."""
+    """Encodes slices of documents: by pieces, with a tokenizer whose rules cut as the module says, else as whole texts."""
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -74,6 +92,14 @@ class PieceEncoder:
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.uint32 if self.wide else np.uint16
         self.cache: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            self.by_piece = cuts_as_known(json.load(f))
+
+    def _encode_whole(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        ids = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind) for t in texts]
+        return np.concatenate([np.zeros(0, self.kind), *ids]), np.cumsum([0] + [len(x) for x in ids])
 
     def _encode_new(self, pieces: list[bytes]) -> None:
         """Encodes pieces together, apart by spaces, and takes the ids back by their offsets."""
@@ -122,14 +148,16 @@ class PieceEncoder:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents of a slice in a row, and where each document begins."""
+        if not self.by_piece:
+            return self._encode_whole(data, off)
         pieces, first = self._pieces(data, off)
         coded = pieces.dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.cache) + len(words) > CACHE:
             self.cache = {w: self.cache[w] for w in words if w in self.cache}
         new = [w for w in words if w not in self.cache]
-        if new:
-            self._encode_new(new)
+        for k in range(0, len(new), NEW):
+            self._encode_new(new[k : k + NEW])
         found = [self.cache[w] for w in words]
         table = np.frombuffer(b"".join(found), self.kind)
         size = np.array([len(x) for x in found], np.int64) // np.dtype(self.kind).itemsize
@@ -180,19 +208,13 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if flags & 1 else doc_id, np.frombuffer(payload, np.uint16 if flags & 2 else np.uint32, offset=_META.size)
 
 
-def _fs(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 INDEX = "file int, doc_id long, offset long, length long, n_tokens long"
 
 
 def _write_part(batches: Iterator[pa.RecordBatch], uri: str, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     tc = TaskContext.get()
     number, enc = tc.partitionId(), encoder(path)
-    fs, root = _fs(uri)
+    fs, root = file_system(uri)
     own, flags = f"{root}/.part-{number:06d}-{tc.taskAttemptId()}", 0 if enc.wide else 2
     end, out, at = np.array([end_id], enc.kind).tobytes(), None, 0
     for batch in batches:
@@ -228,14 +250,14 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, *, end_id: int
     prepare(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // file_bytes))
-    fs, root = _fs(uri)
+    fs, root = file_system(uri)
     fs.create_dir(root, recursive=True)
     placed = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     placed.mapInArrow(_write(uri, tokenizer, end_id), INDEX).write.mode("overwrite").parquet(f"{uri}/index")
 
 
 def _read_files(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
-    fs, root = _fs(uri)
+    fs, root = file_system(uri)
     for batch in batches:
         for number, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             rows, start = [], base
@@ -273,7 +295,7 @@ def read_token_files(spark: SparkSession, uri: str) -> DataFrame:
 
 def read_record(uri: str, file: int, offset: int, length: int) -> tuple[int | None, np.ndarray]:
     """One record by its index entry."""
-    fs, root = _fs(uri)
+    fs, root = file_system(uri)
     with fs.open_input_file(f"{root}/part-{file:06d}.rec") as f:
         f.seek(offset)
         import io

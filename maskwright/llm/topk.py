@@ -4,10 +4,12 @@ Components become integers, floor(scale * x). Each dimension is cut into
 2**bits cells of one width between its least and greatest value; a vector's
 approximation is the byte string of its cells. For a query, the cells bound the
 score from both sides. Blocks of queries meet chunks of approximations in a
-grid of tasks; a chunk keeps what can still be among its k best. Over all
-chunks, the kth best lower bound cuts the rest. Only for what is left are the
+grid of tasks; a task goes through both in tiles, holds each query's k best
+lower bounds so far and keeps what can still be among its k best. The kth best
+lower bound over all tasks then cuts the rest. Only for what is left are the
 exact vectors read, in the order of their upper bounds, until the kth score is
-certain.
+certain. A task gives a query little more than k rows, so what is exchanged
+grows with queries times chunks, and chunks grow to CHUNK vectors.
 
 Of equal vectors only the k + 1 least ids can be in any result (one of them may
 be the query), so the others are left out of the scan; this is exact and keeps
@@ -34,8 +36,9 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 K, SCALE, BITS = 5, 256, 6
-#: Queries of a block and approximations of a chunk: the bounds of one task's matrix.
-BLOCK, CHUNK = 1024, 4096
+#: Queries of a block and approximations of a chunk, which a task holds, and of the tiles that it takes at once.
+BLOCK, CHUNK = 8192, 65_536
+QUERIES, VECTORS = 1024, 4096
 _TOP = float(1 << 62)
 _FOUND = "qkey long, query_id long, vec_id long, key long, lower double, upper double"
 
@@ -95,24 +98,42 @@ def _scan(extent: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
 
 def _scan_chunk(queries: pa.Table, chunk: pa.Table, extent: dict, k: int) -> pa.Table:
     """What a chunk may add to the results of a block of queries, with bounds on the scores."""
-    out: list[list] = [[] for _ in range(6)]
+    kinds = [pa.int64()] * 4 + [pa.float64()] * 2
+    names = ["qkey", "query_id", "vec_id", "key", "lower", "upper"]
+    out: list[list[np.ndarray]] = []
     if queries.num_rows and chunk.num_rows:
         d = queries.column("dim")[0].as_py()
         low, width = extent[d]
-        q = _matrix(queries.column("vec").combine_chunks(), d).astype(np.float64)
         cells = np.frombuffer(b"".join(x.as_py() for x in chunk.column("cells")), np.uint8).reshape(chunk.num_rows, d)
-        middle = low + cells * width + (width - 1) / 2
+        ids, keys = chunk.column("vec_id").to_numpy(), chunk.column("key").to_numpy()
+        qids, qkeys = queries.column("vec_id").to_numpy(), queries.column("key").to_numpy()
+        vectors = _matrix(queries.column("vec").combine_chunks(), d).astype(np.float64)
+        for a in range(0, len(qids), QUERIES):
+            out.append(_scan_tiles(vectors[a : a + QUERIES], qids[a : a + QUERIES], qkeys[a : a + QUERIES], cells, ids, keys, low, width, k))
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[]] * 6
+    return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+
+def _scan_tiles(q: np.ndarray, qids: np.ndarray, qkeys: np.ndarray, cells: np.ndarray, ids: np.ndarray, keys: np.ndarray, low: np.ndarray, width: np.ndarray, k: int) -> list[np.ndarray]:
+    """Some queries against all approximations of a chunk, tile by tile."""
+    # the cells' half widths, and more than the sums' own rounding
+    slack = np.abs(q) @ ((width - 1) / 2) + 2.0**-40 * (np.abs(q) @ (np.abs(low) + 256 * width)) + 1
+    best = np.full((len(q), k), -np.inf)  # of each query, its k best middles so far
+    kept: list[tuple[np.ndarray, ...]] = []
+    for c in range(0, len(ids), VECTORS):
+        middle = low + cells[c : c + VECTORS] * width + (width - 1) / 2
         score = q @ middle.T
-        # the cells' half widths, and more than the sums' own rounding
-        slack = (np.abs(q) @ ((width - 1) / 2) + 2.0**-40 * (np.abs(q) @ (np.abs(low) + 256 * width)) + 1)[:, None]
-        qids, ids, keys, qkeys = queries.column("vec_id").to_numpy(), chunk.column("vec_id").to_numpy(), chunk.column("key").to_numpy(), queries.column("key").to_numpy()
-        score[qids[:, None] == ids[None, :]] = -np.inf
-        n = len(ids)
-        kth = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
-        row, col = np.nonzero((score >= kth[:, None] - 2 * slack) & np.isfinite(score))
-        out = [qkeys[row], qids[row], ids[col], keys[col], score[row, col] - slack[row, 0], score[row, col] + slack[row, 0]]
-    kinds = [pa.int64()] * 4 + [pa.float64()] * 2
-    return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["qkey", "query_id", "vec_id", "key", "lower", "upper"])
+        score[qids[:, None] == ids[None, c : c + VECTORS]] = -np.inf
+        n = score.shape[1]
+        top = np.partition(score, n - k, axis=1)[:, n - k :] if n > k else score
+        both = np.concatenate((best, top), axis=1)
+        best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+        row, col = np.nonzero((score >= (best[:, 0] - 2 * slack)[:, None]) & np.isfinite(score))
+        kept.append((row, c + col, score[row, col]))
+    row, col, score = (np.concatenate(x) for x in zip(*kept, strict=True))
+    on = score >= best[row, 0] - 2 * slack[row]  # by the last bound, no longer by that of its tile
+    row, col, score = row[on], col[on], score[on]
+    return [qkeys[row], qids[row], ids[col], keys[col], score - slack[row], score + slack[row]]
 
 
 def _certain(k: int):
@@ -149,7 +170,7 @@ def _read_in_order(table: pa.Table, k: int, step: int = 64) -> pa.Table:
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, *, k: int = K, scale: float = SCALE, bits: int = BITS, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, vec_id, score: for every query (vec_id, embedding) its k best of all vectors but its own id."""
-    prepare(vectors.sparkSession)
+    spark = prepare(vectors.sparkSession)
     kind = "vec_id long, dim int, vec binary"
     whole = vectors.select("vec_id", "embedding").mapInArrow(_ints(scale), kind)
     # of equal vectors, the k + 1 least ids: first within salted parts, then over them
@@ -168,7 +189,9 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, *, k: int = K, scale: flo
         extent[r["dim"]] = low, high
     extent = {d: (lo.astype(np.float64), np.ceil((hi.astype(np.float64) - lo + 1) / 2**bits)) for d, (lo, hi) in extent.items()}
 
-    n_chunks, n_blocks = max(1, -(-kept.count() // chunk)), max(1, -(-asked.count() // block))
+    rows, spread = kept.count(), spark.sparkContext.defaultParallelism
+    # chunks of full size where there are enough of them to go round
+    n_chunks, n_blocks = max(1, -(-rows // chunk), min(-(-rows // VECTORS), spread)), max(1, -(-asked.count() // block))
     cells = kept.select("vec_id", "dim", "vec", "key").mapInArrow(_cells(extent), "vec_id long, dim int, key long, cells binary")
     cells = cells.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(n_chunks))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
     grid = asked.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))))
