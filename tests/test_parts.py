@@ -5,13 +5,14 @@ import json
 import os
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from maskwright import __main__ as cli
 from maskwright import config, crypto, engine
 from maskwright.functions.arrays import blocks, cut, emit, splice
-from maskwright.operators import fields, scan, store, textutil
+from maskwright.operators import fields, filters, propagate, scan, store, textutil
 from maskwright.operators.fields import FieldRule
 from maskwright.plans.extra import detection_cases
 from maskwright.rules import BUILT_IN, Rule, cut_at_group
@@ -183,3 +184,34 @@ def test_whole_writes(spark, tmp_path):
     files.write_whole(spark, str(tmp_path / "r.json"), b"1")
     files.write_whole(spark, str(tmp_path / "r.json"), b"22")
     assert (tmp_path / "r.json").read_bytes() == b"22" and [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["r.json"]
+
+
+def test_large_dictionaries_are_looked_for_too(spark, monkeypatch):
+    values = [("email", f"user{k}@corp.example") for k in range(40)] + [("auth_token", v) for v in ("abcd", "abcdefg", "efgh", "über-ключ-😀", "user1@corp.example.org", "😀")] + [("email", "abcd"), ("email", "abc")]
+    texts = ["", None, "user1@corp.example.org user1@corp.example user10@corp.example", "xabcdefghabcdefgh", "abcd" * 50, "das über-ключ-😀! abc 😀", "none", "abcd" * 50, "abcdef", "user3@corp.exampl"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    dictionary = spark.createDataFrame(values, "category string, original string")
+    want = sorted(map(str, propagate.redact_known(df, "t", dictionary).collect()))
+    monkeypatch.setattr(propagate, "AUTOMATON_BYTES", 0)
+    got = propagate.redact_known(df, "t", dictionary)
+    assert got.columns == ["id", "t", "found", "sanitized"] and sorted(map(str, got.collect())) == want
+    odd = spark.createDataFrame([(0, 'a "q" & b and a &quot;q&quot; &amp; b or a \\"q\\" & b')], "id int, t string")
+    quoted = spark.createDataFrame([("auth_token", 'a "q" & b')], "category string, original string")
+    assert propagate.redact_known(odd, "t", quoted, escaped=True).first()["found"].__len__() == 3
+
+
+def test_places_over_sections(monkeypatch):
+    values = ["abcd", "abcdefghi", "hij", "z" * 40]
+    h = [filters._Hashes(v) for v in values]
+    words = np.zeros(1 << 10, np.uint64)
+    for v, x in zip(values, h, strict=True):
+        for n in (filters._classes(np.array([len(v)]))[0], len(v)):
+            bit = int(x.spans(np.array([0]), int(n))[0]) & 0xFFFF
+            words[bit >> 6] |= np.uint64(1 << (bit & 63))
+    table = filters.Table(words, tuple(sorted(map(len, values))))
+    texts = [None, "", "xabcdefghijk" + "z" * 43, "abc", "abcd"]
+    want = {(r, v, k) for r, t in enumerate(texts) for v in values for k in range(len(t or "")) if t.startswith(v, k)}
+    for block in (1, 3, 16, 1 << 20):
+        monkeypatch.setattr(filters, "BLOCK", block)
+        got = [(r, f, k) for rows, fs, starts in filters.search(texts, table) for r, f, ks in zip(rows, fs, starts, strict=True) for k in ks]
+        assert len(got) == len(set(got)) and {x for x in got if x[1] in values} == want
