@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,11 +44,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, file_system, prepare, scratch_path, text_slices
+from .common import Words, file_system, prepare, scratch_path, text_buffers, text_slices
 
 END_ID = 1
 FILE_BYTES = 24 << 20
-#: Pieces kept by a worker between batches.
+#: Pieces kept by a worker between batches, in two halves by age.
 CACHE = 200_000
 #: New pieces encoded together, which bounds what the tokenizer holds at once.
 NEW = 8192
@@ -64,6 +65,12 @@ _KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0x80:] = 1
 _KIND[0x30:0x3A] = 2
 
 
+#: Bytes of pieces that are letters in lower case alone: a-z and, behind 0xC3, the lower-case letters of Latin-1.
+_LETTERS = bytes([*range(0x61, 0x7B), 0xC3, 0x9F, *(b for b in range(0xA0, 0xC0) if b != 0xB7)])
+#: The characters that stand for bytes in a byte-level model, where they are not those of the same code.
+_BYTE_LEVEL = {b: chr(256 + k) for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+
+
 #: How a tokenizer file normalises and cuts texts for which pieces may be encoded alone (fixed values).
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
@@ -92,8 +99,13 @@ class PieceEncoder:
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.uint32 if self.wide else np.uint16
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
             self.by_piece = cuts_as_known(json.load(f))
+        self.model = self.tokenizer.model
+        self.digits: dict[int, bytes] = {}
+        if self.by_piece:
+            self.digits = {d: np.array(self.tokenizer.encode(chr(d), add_special_tokens=False).ids, self.kind).tobytes() for d in range(0x30, 0x3A)}
 
     def _encode_whole(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
@@ -101,17 +113,56 @@ class PieceEncoder:
         ids = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind) for t in texts]
         return np.concatenate([np.zeros(0, self.kind), *ids]), np.cumsum([0] + [len(x) for x in ids])
 
-    def _encode_new(self, pieces: list[bytes]) -> None:
-        """Encodes pieces together, apart by spaces, and takes the ids back by their offsets."""
+    def _encode_together(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces that are encoded together, apart by spaces, taken back by their offsets."""
         texts = [p.decode() for p in pieces]
         got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         ids = np.array(got.ids, dtype=self.kind)
         start = np.array([a for a, _ in got.offsets], dtype=np.int64)
         begin = np.cumsum([0] + [len(t) + 1 for t in texts])
-        cut = np.searchsorted(start, begin)
-        raw, size = ids.tobytes(), ids.itemsize
+        cut = (np.searchsorted(start, begin) * ids.itemsize).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def _encode_new(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces.
+
+        A run of letters is one part for the model, which so encodes it without
+        the tokenizer's other steps; every digit is a part of its own. Other
+        pieces go through the whole tokenizer.
+        """
+        out, others, tokenize, code = [b""] * len(pieces), [], self.model.tokenize, "I" if self.wide else "H"
         for k, p in enumerate(pieces):
-            self.cache[p] = raw[cut[k] * size : cut[k + 1] * size]
+            if not p.translate(None, _LETTERS):
+                text = p.decode("latin-1")
+                out[k] = array(code, [t.id for t in tokenize(text if p.isascii() else text.translate(_BYTE_LEVEL))]).tobytes()
+            elif p.isdigit():
+                out[k] = b"".join([self.digits[d] for d in p])
+            else:
+                others.append(k)
+        for a in range(0, len(others), NEW):
+            some = others[a : a + NEW]
+            for k, ids in zip(some, self._encode_together([pieces[k] for k in some]), strict=True):
+                out[k] = ids
+        return out
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces, from the cache where it has them."""
+        found: list = list(map(self.cache.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        if not missing:
+            return found
+        if len(self.cache) + len(missing) > CACHE // 2:
+            self.older, self.cache = self.cache, {}
+        new = []
+        for k in missing:
+            ids = found[k] = self.older.get(words[k])
+            if ids is None:
+                new.append(k)
+        for k, ids in zip(new, self._encode_new([words[k] for k in new]), strict=True):
+            found[k] = ids
+        self.cache.update((words[k], found[k]) for k in missing)
+        return found
 
     def _pieces(self, data: np.ndarray, off: np.ndarray) -> tuple[pa.BinaryArray, np.ndarray]:
         """The pieces of a slice, and the first piece of each document."""
@@ -152,13 +203,10 @@ class PieceEncoder:
             return self._encode_whole(data, off)
         pieces, first = self._pieces(data, off)
         coded = pieces.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.cache) + len(words) > CACHE:
-            self.cache = {w: self.cache[w] for w in words if w in self.cache}
-        new = [w for w in words if w not in self.cache]
-        for k in range(0, len(new), NEW):
-            self._encode_new(new[k : k + NEW])
-        found = [self.cache[w] for w in words]
+        body, spans = text_buffers(coded.dictionary)
+        raw, cut = body.tobytes(), spans.tolist()
+        words = [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        found = self._ids_of(words)
         table = np.frombuffer(b"".join(found), self.kind)
         size = np.array([len(x) for x in found], np.int64) // np.dtype(self.kind).itemsize
         begin = np.cumsum(size) - size

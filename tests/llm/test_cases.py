@@ -203,3 +203,21 @@ def test_pipeline_of_odd_and_empty_tables(spark, odd, tmp_path):
         else:
             kept = [r.doc_id for r in got]
             assert kept.count(3) == 1 and 5 not in kept and kept.count(4) == 1 and 22 in kept and 23 not in kept and kept.count(None) == 2
+
+
+def test_new_letters_and_digits_skip_the_whole_tokenizer(monkeypatch):
+    enc = token_files.PieceEncoder(queries.tokenizer_path("word_bpe_49k.json"))
+    plain = ["Ofanorreen ÉLAN straße 1234 x9", "", "mañana thswhere12ng ofanorreen"]
+    texts = [*plain, "don't ×÷ Ÿ <| a×b 中 ½ É'x"]
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    together, sent = enc._encode_together, []
+    monkeypatch.setattr(enc, "_encode_together", lambda pieces: sent.extend(pieces) or together(pieces))
+
+    def ids(texts):
+        raw = [t.encode() for t in texts]
+        got, begin = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+        return [got[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+
+    assert ids(plain) == want[:-1] and not sent
+    monkeypatch.setattr(token_files, "CACHE", 4)
+    assert ids(texts) == want == ids(texts) and sent
